@@ -36,7 +36,7 @@ class _Kept(dict):
 
     def __missing__(self, o: int):
         c = chr(o)
-        out = "" if c.isspace() or c == "​" or unicodedata.category(c)[0] in "PZ" else c
+        out = "" if c.isspace() or c == "\u200b" or unicodedata.category(c)[0] in "PZ" else c
         self[o] = out
         return out
 

@@ -118,7 +118,7 @@ def _script(c: str) -> str:
 def simple_form(c: str) -> str:
     """One character without width, font, ligature or invisible variants."""
     cat = unicodedata.category(c)
-    if c in "\t\n\r\x0b\x0c\x85  ":
+    if c in "\t\n\r\x0b\x0c\x85\u2028\u2029":
         return c
     if cat == "Zs":
         return " "
@@ -138,7 +138,7 @@ class _Forms(dict):
 
     def __missing__(self, o: int):
         c = chr(o)
-        form = c if c in "‌‍" else simple_form(c)  # joiners need their neighbour
+        form = c if c in "\u200c\u200d" else simple_form(c)  # joiners need their neighbour
         self[o] = form
         return form
 
@@ -152,7 +152,7 @@ def normalizer() -> Callable[[str], str]:
     upper = tuple(n.upper() for n in names)
     # characters that are their own form, whatever stands beside them
     plain = re.compile("[\t\n\r\x20-\x7e।॥‐-‧ऀ-नप-रलव-ऻऽ-ॗఀ-౅ేొ-్ౠ-౿一-鿿฀-าิ-າ\xe0-\xf6\xc0-\xcf\xd1-\xd6\xf8-\xff\xd8-\xdf]*")
-    joiner = re.compile("([्্੍્୍்్್്්္្])[‌‍]*?([‌‍])[‌‍]*|[‌‍]+")
+    joiner = re.compile("([्্੍્୍்్್്්္្])[\u200c\u200d]*?([\u200c\u200d])[\u200c\u200d]*|[\u200c\u200d]+")
     foreign = "".join(sorted({c for c, cells in shapes.items() if c > "\x7f" and not ("ఀ" <= c <= "౿")} - {"\xe4", "\xeb", "\xef", "\xf6"}))
     special = re.compile(f"[{foreign}]")
     token = re.compile(r"[^\s!-/:-@\[-`{-~।॥‐-‧、-】]+")
@@ -184,7 +184,7 @@ def normalizer() -> Callable[[str], str]:
         if plain.fullmatch(text):
             return text
         text = text.translate(forms)
-        if "‌" in text or "‍" in text:
+        if "\u200c" in text or "\u200d" in text:
             text = joiner.sub(lambda m: (m.group(1) + m.group(2)) if m.group(1) else "", text)
         text = unicodedata.normalize("NFC", text)
         if special.search(text):

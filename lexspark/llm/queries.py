@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, formatdup, lookalike, mixing, mojibake, termfreq
+from . import encode, formatdup, langid, lookalike, mixing, mojibake, pii, quality, sentences, termfreq
 from .common import cut, domain_texts, spread, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,19 @@ def _documents(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text", *more))
 
 
+# 1 personal information
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(spread(domain_texts(spark, d)), table(spark, d, "name_list"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_items(spark, d).select("field", "rec_id", "start_pos", "kind")
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(spread(domain_texts(spark, d)), table(spark, d, "name_list"))
+
+
 # 2 look-alike characters
 def _look_texts(spark: SparkSession, d: str) -> DataFrame:
     sentences = texts(table(spark, d, "indiccorp_te_tokenized"), "sent_id", "tokenized_sentence", "tokenized_sentence")
@@ -36,6 +49,41 @@ def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalize_corpus(_look_texts(spark, d), ["field", "rec_id"], "text")
 
 
+# 3 text quality
+def p3_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored(cut(quality.profiles(spread(domain_texts(spark, d)), table(spark, d, "common_words"))))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_quality(spark, d).where(F.col("kind") != "prose").select("field", "rec_id", "kind")
+
+
+# 4 sentences
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    checked = table(spark, d, "sentence_check").select("field", "rec_id")
+    return sentences.sentences(spread(domain_texts(spark, d).join(checked, ["field", "rec_id"], "left_semi")))
+
+
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_texts(spread(domain_texts(spark, d)))
+
+
+# 5 languages
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    common = table(spark, d, "common_words")
+    model = langid.fit(table(spark, d, "documents"), "text", "lang", common)
+    pages = spread(table(spark, d, "oscar_te").select("rec_id", "content", "lang"))
+    return langid.segment_languages(pages, "rec_id", "content", "lang", model, common)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.unnamed_languages(p5_segments(spark, d))
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(p5_segments(spark, d))
+
+
 # 6 terms
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return termfreq.marked_terms(_sentences(spark, d), "tokenized_sentence")
@@ -79,8 +127,18 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_items": p1_items,
+        "p1_masked": p1_masked,
         "p2_found": p2_found,
         "p2_normalized": p2_normalized,
+        "p3_found": p3_found,
+        "p3_quality": p3_quality,
+        "p4_found": p4_found,
+        "p4_sentences": p4_sentences,
+        "p5_found": p5_found,
+        "p5_segments": p5_segments,
+        "p5_documents": p5_documents,
         "p6_found": p6_found,
         "p6_terms": p6_terms,
         "p7_found": p7_found,
