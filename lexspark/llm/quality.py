@@ -9,7 +9,8 @@ flagged records are judged by their shape: ``list``, ``table``, ``junk``;
 everything else is ``prose``.
 
 Languages are told by script and common words (the label may be wrong).
-Groups of fewer than ``LEAST`` records use the merged sketch of all groups.
+Groups of fewer than ``LEAST`` records, and those of no known language, use the
+merged sketch of all languages.
 Words are runs without white space; in Chinese every character is a word, in
 Thai every piece between common words. Null and blank records have no
 statistics (kind null). A record of any length is measured whole.
@@ -36,6 +37,9 @@ KEPT_WORDS = 300_000
 #: accuracy of the quantile sketches (KLL's k)
 SKETCH_K = 200
 
+#: groups that are no language; their records are held against all languages together
+UNKNOWN = ("latin", "deva", "other", "none")
+
 #: statistic -> least scale of its z-score (a spread below it counts as this)
 STATS = {
     "mean_word_length": 0.5,
@@ -308,14 +312,14 @@ def scored(measured: DataFrame) -> DataFrame:
     language rule can name, so they are broadcast.
     """
     sketches = measured.groupBy("lang").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, F.lit(SKETCH_K)).alias(s) for s in STATS))
-    everything = sketches.agg(*(F.kll_merge_agg_double(s).alias(f"all_{s}") for s in STATS))
+    everything = sketches.where(~F.col("lang").isin(*UNKNOWN)).agg(*(F.kll_merge_agg_double(s).alias(f"all_{s}") for s in STATS))
     quarts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     rows = sketches.select("lang", "n", *(F.kll_sketch_get_quantile_double(s, quarts).alias(s) for s in STATS)).collect()
     whole = everything.select(*(F.kll_sketch_get_quantile_double(f"all_{s}", quarts).alias(s) for s in STATS)).collect() if rows else []
     spark = measured.sparkSession
     data = []
     for r in rows:  # one row a language
-        use = r if r.n >= LEAST else whole[0]
+        use = r if r.lang not in UNKNOWN and r.n >= LEAST or whole[0][0] is None else whole[0]
         cells: list = [r.lang]
         for s, least in STATS.items():
             low, mid, high = use[s]
