@@ -192,7 +192,8 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
                 out = ("", 0, {})
         if len(memo) >= KEPT_WORDS:
             memo.clear()
-        memo[unit] = out
+        if len(unit) < 100:
+            memo[unit] = out
         return out
 
     def segments(text: str) -> list[tuple[int, int, str, float, bool]]:

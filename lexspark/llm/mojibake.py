@@ -145,8 +145,12 @@ _LIKE = set("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0410\
 def _odd(word: str) -> set[str]:
     """Characters that don't belong in a Latin word written in lower case."""
     odd = set()
-    for before, c in zip(word, word[1:]):
-        if c > "\x7f" and (not c.isalpha() or c.isupper() or c > "\u024f") and (before.islower() or before > "\u024f"):
+    for k in range(1, len(word)):
+        before, c = word[k - 1], word[k]
+        if c <= "\x7f" or not (before.islower() or before > "\u024f"):
+            continue
+        # a sign (such as a superscript) is out of place only between letters
+        if c > "\u024f" or c.isupper() or (not c.isalpha() and word[k + 1 : k + 2].isalpha()):
             odd.add(c)
     if word[0] > "\u024f":
         odd.add(word[0])
@@ -219,7 +223,7 @@ def units(text: str) -> tuple[str, bool]:
 _LOST = re.compile("\ufffd")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _QUOTED = re.compile("[\"'\u201c\u2018\u00ab(]\\s?\ufffd\\s?[\"'\u201d\u2019\u00bb)]")
-_SUSPECT = re.compile("[\x80-\u02ff\u0370-\u058f\u2000-\u2008\u200e-\u200f\u2020-\u2023\u2030-\u203f\u2070-\u2e7f\u3100-\u3fff\ufb00-\ufb06\ufffd]|[\u3400-\u7e7e]{10}")
+_SUSPECT = re.compile("[\x80-\u02ff\u0370-\u058f\u2000-\u2008\u200e-\u200f\u2020-\u2023\u2030-\u203f\u2070-\u2e7f\u3100-\u3fff\ufb00-\ufb06\ufffd]|[\u2000-\u7e7e]{10}")
 
 
 def repair(text: str | None) -> tuple[str | None, str]:

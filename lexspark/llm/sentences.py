@@ -78,6 +78,8 @@ _MONTHS = frozenset("januar jänner februar märz april mai juni juli august sep
 #: Devanagari letter names, which are initials before a full stop
 _LETTER_NAMES = frozenset("ए बी सी डी ई एफ जी एच आई जे के एल एम एन ओ पी क्यू आर एस टी यू वी डब्ल्यू एक्स वाई जेड".split())
 
+#: quotes and brackets that can be open at once; beyond it the outermost is forgotten
+DEPTH = 32
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "‘": "’", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
 _BRACKETS = frozenset("([{（【")
 _CLOSERS = frozenset(")]}）】」』》〉”’»›“‘\"'")
@@ -323,6 +325,8 @@ def _quote(text: str, start: int, i: int, b: int, stack: list[tuple[str, int, bo
     k = i - 1
     while k >= start and text[k].isspace():
         k -= 1
+    if len(stack) >= DEPTH:
+        del stack[0]
     stack.append((closing, i, k >= start and text[k] in ",:，：،"))
 
 
