@@ -79,7 +79,7 @@ def _plain(c: str) -> bool:
     return "\xa0" <= c <= "\u024f" or "\u2010" <= c <= "\u2122" or c in "\ufeff\ufffd"
 
 
-def _possible(page: str, span: str, plain: str) -> bool:
+def _possible(span: str, plain: str, before: str, after: str) -> bool:
     """False for spans that decode only to what no text holds, and for drawn boxes.
 
     Beside other characters C1 controls are allowed: a text decoded wrongly
@@ -91,12 +91,15 @@ def _possible(page: str, span: str, plain: str) -> bool:
 
     if all(unheard(ord(c)) for c in plain):
         return False
-    return not all("\u2500" <= c <= "\u257f" for c in span)
+    if all("\u2500" <= c <= "\u257f" for c in span):
+        drawn = "\u2500" <= before <= "\u257f" or "\u2500" <= after <= "\u257f"
+        return not drawn and all(_plain(c) for c in plain)
+    return True
 
 
 def _spans(page: str, text: str) -> list[tuple[int, int, str]]:
     """(start, end, decoded) of the page's spans; a lone letter of a rare script is no damage."""
-    found = [(m.start(), m.end(), p) for m in automaton(page).finditer(text) if _possible(page, m.group(), p := _decoded(page, m.group()))]
+    found = [(m.start(), m.end(), p) for m in automaton(page).finditer(text) if _possible(m.group(), p := _decoded(page, m.group()), text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1])]
     blocks: dict[int, int] = {}
     for _, _, p in found:
         for c in p:
@@ -135,9 +138,13 @@ def _swaps(page: str) -> dict[str, str]:
     return out
 
 
-_WORD = re.compile(r"[^\W\d_]*[a-z\xdf-\xf6\xf8-\xff](?:[^\W\d_]|[\xb7\xaf\xb1\xb3\xb8\xbe\u02c6\u02d9\u02da\u02dc\u2030\u2320\ufb01\ufb02])+")
+_WORD = re.compile(r"[^\W\d_]*[a-z\xdf-\xf6\xf8-\xff](?:[^\W\d_]|[\xb7\xaf\xb1\xb3\xb8\xbe\u02c6\u02d9\u02da\u02dc\u2030\u2320\u2321\u2229\u2261\u2248\u2264\u2265\u221a\u221e\xf7\ufb01\ufb02])+")
 _SWAP_PAGES = ("cp1251", "mac_roman", "cp437", "cp850", "cp1250", "cp1253", "koi8_r", "cp866")
-_SIGNS = re.compile(r"(?<![^\W\d_])[\u0408\u0402\xfa](?=\d)|(?<=\d )[\u2591\u221e](?=C\b)|(?<=[a-z]n)[\xed\xc6](?=t\b)")
+#: single signs of a wrong page: a pound or euro before digits, a degree, an apostrophe, a half, quotes in pairs
+_SIGNS = re.compile(
+    r"(?<![^\W\d_])[\u0408\u0402\xfa](?=\d)|(?<=\d )[\u2591\u221e](?=C\b)|(?<=[a-z]n)[\xed\xc6](?=t\b)|(?<=[a-z])\xc6(?=(?:s|re|ll|ve|d)\b)|(?<=[a-z] )[\u03a9\u255c](?= [a-z])"
+    r"|(?<!\w)[\xec\xf4](?=[A-Za-z][^\xec\xee\xf4\xf6]{0,200}[A-Za-z.,!?\u2026][\xee\xf6](?!\w))"
+)
 #: letters of other scripts that are drawn like Latin ones: a spelling trick, not damage
 _LIKE = set("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u03bf\u03bd\u03b1\u03b9")
 
@@ -147,7 +154,7 @@ def _odd(word: str) -> set[str]:
     odd = set()
     for k in range(1, len(word)):
         before, c = word[k - 1], word[k]
-        if c <= "\x7f" or not (before.islower() or before > "\u024f"):
+        if c <= "\x7f" or not (before.islower() or before > "\u024f" or (c > "\u024f" and c.isalpha())):
             continue
         # a sign (such as a superscript) is out of place only between letters
         if c > "\u024f" or c.isupper() or (not c.isalpha() and word[k + 1 : k + 2].isalpha()):
@@ -169,7 +176,8 @@ def swapped(text: str) -> tuple[str, bool]:
         for _, odd in words:
             if all((m := table.get(c)) and m.isalpha() and m.islower() for c in odd):
                 score[page] = score.get(page, 0) + 1
-                decisive = decisive or bool(odd - _LIKE)
+                # of the look-alikes only two stand for letters that are frequent in Latin texts
+                decisive = decisive or bool(odd - _LIKE) or (page == "cp1251" and odd <= {"\u0441", "\u0443"})
     if not (score and decisive):
         if _SIGNS.search(text):
             return text, True
