@@ -1,7 +1,7 @@
 """Per-document text quality statistics (problem 3).
 
 One pass measures every record: words, mean word length, symbol ratio, share
-of lines that end in punctuation, share of common words and four more. Each
+of lines that end in punctuation, share of common words and five more. Each
 statistic gets a mergeable quantile sketch (KLL) per language, built by
 combining aggregation; its quartiles turn a value into a robust z-score. A
 record in the tail of any statistic of its language is flagged, and only
@@ -50,6 +50,7 @@ STATS = {
     "stops_per_word": 0.02,
     "digit_ratio": 0.01,
     "distinct_words": 0.1,
+    "item_lines": 0.15,
 }
 #: statistics whose upper tail is ordinary (long lines, sound punctuation)
 LOW_ONLY = ("punctuated_lines", "words_per_line", "common_words", "distinct_words")
@@ -154,14 +155,16 @@ def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
                 symbols += text.count(c)
             elif k == "d":
                 digits += text.count(c)
-        ends = 0
+        ends = items = 0
         for x in lines:
-            if x[-1] in _STOP or x.rstrip(_TRAIL)[-1:] in _STOP_SET:
+            if x[-1] in _STOP_SET or x.rstrip(_TRAIL)[-1:] in _STOP_SET:
                 ends += 1
+            if len(x) <= 60 and x.count(" ") < 6:
+                items += 1
         stops = len(_STOPS.findall(text))
         distinct = len(set(words)) / n
         shape = _shape(text, words, lines, lang, share, length, digits, symbols, ends, stops, n_words, distinct)
-        return (lang, n_words, length / n_words, symbols / length, ends / len(lines), share, n_words / len(lines), stops / n_words, digits / length, distinct, shape)
+        return (lang, n_words, length / n_words, symbols / length, ends / len(lines), share, n_words / len(lines), stops / n_words, digits / length, distinct, items / len(lines), shape)
 
     return profile
 
