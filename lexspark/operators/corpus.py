@@ -50,9 +50,18 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
-def _distinct(tokens: DataFrame) -> Column:
-    """Number of distinct tokens: each sentence's own first, so fewer rows are shuffled."""
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("t")).agg(F.countDistinct("t")).scalar()
+def _totals(rows: DataFrame, **measures: Column) -> DataFrame:
+    """One row: ``total_sentences``, the sums of ``measures`` and ``types``, the distinct tokens.
+
+    Every sentence is tokenized once: its distinct tokens are exploded, the
+    first carries the sentence's measures, and one combining aggregation by
+    token feeds the totals.
+    """
+    sums = {"total_sentences": F.lit(1), **measures}
+    parts = rows.select(*(c.cast("bigint").alias(n) for n, c in sums.items()), F.posexplode(F.array_distinct("tokens")).alias("pos", "token"))
+    first = F.col("pos") == 0
+    by_token = parts.groupBy("token").agg(*(F.sum(F.when(first, F.col(n)).otherwise(F.lit(0))).alias(n) for n in sums))
+    return by_token.agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in sums), F.count("*").alias("types"))
 
 
 def inline_statistics(docs: DataFrame) -> DataFrame:
@@ -61,19 +70,17 @@ def inline_statistics(docs: DataFrame) -> DataFrame:
     The average word length here is characters per word, spaces included. All
     values are unrounded; zero denominators give 0.
     """
-    rows = tokenized_sentences(docs)
-    sums = rows.agg(F.count("*").alias("total_sentences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("bigint").alias("total_words"), F.coalesce(F.sum(F.length("tokenized_sentence")), F.lit(0)).cast("bigint").alias("total_characters"))
-    n_docs = docs.agg(F.count("*")).scalar()
-    out = sums.select(n_docs.alias("total_documents"), "*", _distinct(rows).alias("unique_tokens"))
-    return out.select(
-        "total_documents",
+    totals = _totals(tokenized_sentences(docs), total_words=F.size("tokens"), total_characters=F.length("tokenized_sentence"))
+    words = F.col("total_words")
+    return totals.select(
+        docs.agg(F.count("*")).scalar().alias("total_documents"),
         "total_sentences",
         "total_words",
         "total_characters",
-        ratio(F.col("total_words"), F.col("total_sentences")).alias("average_sentence_length"),
-        ratio(F.col("total_characters"), F.col("total_words")).alias("average_word_length"),
-        "unique_tokens",
-        ratio(F.col("unique_tokens"), F.col("total_words")).alias("type_token_ratio"),
+        ratio(words, F.col("total_sentences")).alias("average_sentence_length"),
+        ratio(F.col("total_characters"), words).alias("average_word_length"),
+        F.col("types").alias("unique_tokens"),
+        ratio(F.col("types"), words).alias("type_token_ratio"),
     )
 
 
@@ -84,15 +91,16 @@ def table_statistics(df: DataFrame, column: str = "tokenized_sentence") -> DataF
     sentence, outer spaces included.
     """
     rows = df.select(F.col(column).alias("s"), T.words(column).alias("tokens")).where(F.size("tokens") > 0)
-    sums = rows.agg(F.count("*").alias("total_sentences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("bigint").alias("total_words"), F.coalesce(F.sum(F.length("s")), F.lit(0)).cast("bigint").alias("total_characters"), F.coalesce(F.sum(F.length(F.array_join("tokens", ""))), F.lit(0)).cast("bigint").alias("word_characters"))
-    return sums.select(
+    totals = _totals(rows, total_words=F.size("tokens"), total_characters=F.length("s"), word_characters=F.length(F.array_join("tokens", "")))
+    words = F.col("total_words")
+    return totals.select(
         "total_sentences",
         "total_words",
         "total_characters",
-        ratio(F.col("total_words"), F.col("total_sentences")).alias("average_sentence_length"),
-        ratio(F.col("word_characters"), F.col("total_words")).alias("average_word_length"),
-        _distinct(rows).alias("unique_token_types"),
-        ratio(_distinct(rows), F.col("total_words")).alias("type_token_ratio"),
+        ratio(words, F.col("total_sentences")).alias("average_sentence_length"),
+        ratio(F.col("word_characters"), words).alias("average_word_length"),
+        F.col("types").alias("unique_token_types"),
+        ratio(F.col("types"), words).alias("type_token_ratio"),
     )
 
 
