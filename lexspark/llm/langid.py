@@ -133,7 +133,7 @@ def fit(reference: DataFrame, text_col: str, lang_col: str, common_words: DataFr
     cls = F.when((F.col(lang_col) == "te") & latin, F.lit("te-Latn")).otherwise(F.col(lang_col))
     wanted = [c for cs in CLASSES.values() for c in cs]
     rows = reference.where(text.isNotNull() & (F.length(text) > 40)).select(cls.alias("c"), text.alias("t"), F.xxhash64(text).alias("h")).where(F.col("c").isin(wanted))
-    # one pass: the texts of least hash per class, kept by a bounded aggregate in every task
+    # a hash threshold per class leaves about ``per_class`` texts, whatever the table's size
     low = {r.c: r.n for r in rows.groupBy("c").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
     for c, n in low.items():
