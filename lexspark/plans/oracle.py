@@ -118,6 +118,23 @@ greedy AS (SELECT case_id, words FROM g WHERE pos = length(input)), dp AS (SELEC
 """
 
 
+def accuracy(p: str) -> str:
+    n = f"least(len({p}), len(a))"
+    return f"CASE WHEN len(a) > 0 THEN len(list_filter(list_zip({p}[1:{n}], a[1:{n}]), lambda x: x[1] = x[2])) / len(a) ELSE 0 END"
+
+
+#: the distance counts bytes here, which is the same for the ASCII cases of the table
+METRICS = SEGMENT + f""", t AS (SELECT case_id, {words("coalesce(ground_truth, '')")} AS a FROM c)
+SELECT case_id, {accuracy("greedy.words")} AS greedy_accuracy, levenshtein(array_to_string(greedy.words, ' '), array_to_string(a, ' '))::INT AS greedy_distance,
+  {accuracy("dp.words")} AS dp_accuracy, levenshtein(array_to_string(dp.words, ' '), array_to_string(a, ' '))::INT AS dp_distance
+FROM t JOIN greedy USING (case_id) JOIN dp USING (case_id)"""
+REPORT = f"""
+WITH s AS ({METRICS}), m AS (SELECT avg(greedy_accuracy) AS greedy_accuracy, avg(greedy_distance) AS greedy_distance, avg(dp_accuracy) AS dp_accuracy, avg(dp_distance) AS dp_distance, count(*) AS cases FROM s)
+SELECT *, CASE WHEN greedy_accuracy > dp_accuracy THEN 'greedy' WHEN greedy_accuracy < dp_accuracy THEN 'dp' ELSE 'same' END AS better_accuracy,
+  CASE WHEN dp_distance > greedy_distance THEN 'greedy' WHEN dp_distance < greedy_distance THEN 'dp' ELSE 'same' END AS better_distance
+FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
     nouns = f"WITH nouns AS ({NOUNS}) "
     return {
@@ -143,5 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "morph_analyze": nouns + analysis(FORMS, "word"),
         "morph_corpus": nouns + f"SELECT word || ' = ' || analysis AS value FROM ({analysis('SELECT noun FROM nouns', 'noun')})",
         "segment_greedy": SEGMENT + "SELECT case_id, array_to_string(words, '|') AS words FROM greedy",
+        "segment_metrics": METRICS,
+        "segment_report": REPORT,
         "segment_dp": SEGMENT + "SELECT case_id, array_to_string(words, '|') AS words FROM dp",
     }
