@@ -11,8 +11,9 @@ get the same spelling, and the normalized text is the key of its look.
 Other forms first: full- and half-width, presentation and font variants and
 letter ligatures lose their variant; characters without shape go, except a
 joiner or non-joiner right after a virama; every space character of any width
-is U+0020; canonical composition (NFC) comes last. Tabs, line breaks, the
-number of spaces, superscripts, case and punctuation stay.
+is U+0020. Letters are respelled without their accents (NFD), so an accent is
+no part of a shape; canonical composition (NFC) comes last. Tabs, line breaks,
+the number of spaces, superscripts, case and punctuation stay.
 
 Null stays null and matches nothing; texts without a letter or digit are
 normalized but are never paired. Repeated rows are rows of their own.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -78,10 +80,6 @@ v ν ѵ -
 w - ԝ -
 x - х -
 y - у -
-ä - ӓ -
-ë - ё -
-ï ϊ ї -
-ö - ӧ -
 """
 #: Telugu and Kannada letters and signs of one shape; the two
 #: blocks are laid out alike, the second 0x80 after the first.
@@ -133,6 +131,17 @@ def simple_form(c: str) -> str:
     return c
 
 
+@lru_cache(maxsize=None)
+def _respelled() -> re.Pattern[str]:
+    """Characters without which a token keeps its spelling.
+
+    Latin and Telugu come first in every set of shapes, so only a letter of the
+    other scripts of ``SHAPES`` and ``TELUGU_KANNADA`` can change a token.
+    """
+    others = {n.upper() for n in ALPHABETS[1:]} | {"KANNADA"}
+    return re.compile("[" + "".join(c for c in map(chr, range(0x370, 0x1F000)) if _script(c) in others) + "]")
+
+
 class _Forms(dict):
     """str.translate table that works out each character once."""
 
@@ -153,13 +162,12 @@ def normalizer() -> Callable[[str], str]:
     # characters that are their own form, whatever stands beside them
     plain = re.compile("[\t\n\r\x20-\x7e।॥‐-‧ऀ-नप-रलव-ऻऽ-ॗఀ-౅ేొ-్ౠ-౿一-鿿฀-าิ-າ\xe0-\xf6\xc0-\xcf\xd1-\xd6\xf8-\xff\xd8-\xdf]*")
     joiner = re.compile("([्্੍્୍்్್്්္្])[\u200c\u200d]*?([\u200c\u200d])[\u200c\u200d]*|[\u200c\u200d]+")
-    foreign = "".join(sorted({c for c, cells in shapes.items() if c > "\x7f" and not ("ఀ" <= c <= "౿")} - {"\xe4", "\xeb", "\xef", "\xf6"}))
-    special = re.compile(f"[{foreign}]")
+    special = _respelled()
     token = re.compile(r"[^\s!-/:-@\[-`{-~।॥‐-‧、-】]+")
 
     def respell(m: re.Match[str]) -> str:
         word = m.group()
-        if word.isascii() or not special.search(word):
+        if not special.search(word):
             return word
         able: set[int] | None = None
         for c in word:
@@ -188,7 +196,7 @@ def normalizer() -> Callable[[str], str]:
             text = joiner.sub(lambda m: (m.group(1) + m.group(2)) if m.group(1) else "", text)
         text = unicodedata.normalize("NFC", text)
         if special.search(text):
-            text = token.sub(respell, text)
+            text = unicodedata.normalize("NFC", token.sub(respell, unicodedata.normalize("NFD", text)))
         return text
 
     return normalize

@@ -80,6 +80,12 @@ def test_consistent_form():
         assert n(n(t)) == n(t)
 
 
+@pytest.mark.parametrize("a,b", [("\u0c95\u0c02\u0cac", "\u0c95\u0c82\u0cac"), ("\u043c\u0438p", "\u043c\u0438\u0440"), ("caf\u0435\u0301", "caf\u00e9"), ("\u0450", "\u00e8"), ("\u0432\u0441\u00e8", "\u0432\u0441\u0450"), ("\u03ba\u03b1\u03bb\u00f3", "\u03ba\u03b1\u03bb\u03cc")])
+def test_borrowed_letters_of_any_script(a, b):
+    n = lookalike.normalizer()
+    assert n(a) == n(b) and formatdup.canonicalizer()(a) == formatdup.canonicalizer()(b)
+
+
 def test_same_looking_pairs(spark):
     values = ["rank", "rаnk", "rank", "ｒａｎｋ", None, "", "..", "．．", "Rank"]
     df = fields(spark, values, True)
