@@ -3,14 +3,18 @@
 One pass measures every record: words, mean word length, symbol ratio, share
 of lines that end in punctuation, share of common words and five more. Each
 statistic gets a mergeable quantile sketch (KLL) per language, built by
-combining aggregation; its quartiles turn a value into a robust z-score. A
-record in the tail of any statistic of its language is flagged, and only
-flagged records are judged by their shape: ``list``, ``table``, ``junk``;
-everything else is ``prose``.
+combining aggregation over the records shaped like prose, so that any share of
+lists, tables and junk leaves it as it is; its quartiles turn a value into a
+robust z-score. A record in the tail of any statistic of its language's prose
+is flagged, and flagged records are judged by their shape: ``list``, ``table``,
+``junk``; everything else is ``prose``.
 
 Languages are told by script and common words (the label may be wrong).
-Groups of fewer than ``LEAST`` records, and those of no known language, use the
-merged sketch of all languages.
+Groups of fewer than ``LEAST`` records of prose, and those of no known language,
+get their z-scores from the merged sketch of all languages, which doesn't tell
+how their own prose looks: there the shape alone decides. It also does where the
+prose of a language is so mixed that no value of a statistic in ``DECISIVE``
+lies in its tail.
 Words are runs without white space; in Chinese every character is a word, in
 Thai every piece between common words. Null and blank records have no
 statistics (kind null). A record of any length is measured whole.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 #: robust z-score beyond which a value lies in the tail
 TAIL = 3.0
-#: records a language needs for quartiles of its own
+#: records of prose a language needs for quartiles of its own
 LEAST = 50
 #: words a task remembers
 KEPT_WORDS = 300_000
@@ -54,6 +58,8 @@ STATS = {
 }
 #: statistics whose upper tail is ordinary (long lines, sound punctuation)
 LOW_ONLY = ("punctuated_lines", "words_per_line", "common_words", "distinct_words")
+#: statistics by which lists and tables differ from prose; both lie between 0 and 1
+DECISIVE = ("punctuated_lines", "item_lines")
 
 _STOP = r".!?।॥…。！？．"
 _CLOSE = "\"'”’»）)\\]」』›*_"
@@ -312,28 +318,37 @@ def scored(measured: DataFrame) -> DataFrame:
     """``measured`` with a robust z-score per statistic (z_...), ``flagged`` and ``kind``.
 
     The sketches of a language are one row; there are as many rows as the
-    language rule can name, so they are broadcast.
+    language rule can name, so they are broadcast. z-scores are null where no
+    language has prose to hold against.
     """
-    sketches = measured.groupBy("lang").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, F.lit(SKETCH_K)).alias(s) for s in STATS))
+    prose = measured.where(F.col("shape") == "prose")
+    sketches = prose.groupBy("lang").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, F.lit(SKETCH_K)).alias(s) for s in STATS))
     everything = sketches.where(~F.col("lang").isin(*UNKNOWN)).agg(*(F.kll_merge_agg_double(s).alias(f"all_{s}") for s in STATS))
     quarts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     rows = sketches.select("lang", "n", *(F.kll_sketch_get_quantile_double(s, quarts).alias(s) for s in STATS)).collect()
     whole = everything.select(*(F.kll_sketch_get_quantile_double(f"all_{s}", quarts).alias(s) for s in STATS)).collect() if rows else []
     spark = measured.sparkSession
-    data = []
+
+    def scale(quartiles) -> dict[str, tuple[float, float]]:
+        return {s: (float(quartiles[s][1]), max((quartiles[s][2] - quartiles[s][0]) / 1.349, least)) for s, least in STATS.items()}
+
+    data: list[tuple] = []
     for r in rows:  # one row a language
-        use = r if r.lang not in UNKNOWN and r.n >= LEAST or whole[0][0] is None else whole[0]
-        cells: list = [r.lang]
-        for s, least in STATS.items():
-            low, mid, high = use[s]
-            cells += [float(mid), max((high - low) / 1.349, least)]
-        data.append(tuple(cells))
-    schema = "lang string, " + ", ".join(f"m_{s} double, d_{s} double" for s in STATS)
+        own = r.lang not in UNKNOWN and r.n >= LEAST
+        scales = scale(r if own or whole[0][0] is None else whole[0])
+        told = own and all(max(m, 1.0 - m) > TAIL * d if s not in LOW_ONLY else m > TAIL * d for s, (m, d) in scales.items() if s in DECISIVE)
+        data.append((r.lang, told, *(x for s in STATS for x in scales[s])))
+    blank = (None,) * (2 * len(STATS))
+    rest = tuple(x for m in scale(whole[0]).values() for x in m) if whole and whole[0][0] is not None else blank
+    data.append((None, False, *rest))  # languages without any prose
+    schema = "scale_lang string, told boolean, " + ", ".join(f"m_{s} double, d_{s} double" for s in STATS)
+    known = [r[0] for r in data if r[0] is not None]
     scales = spark.createDataFrame(data, schema)
     z = {s: (F.col(s) - F.col(f"m_{s}")) / F.col(f"d_{s}") for s in STATS}
     tail = F.lit(False)
     for s, v in z.items():
-        tail = tail | ((v < -TAIL) if s in LOW_ONLY else (F.abs(v) > TAIL))
-    joined = measured.join(F.broadcast(scales), "lang")
-    kind = F.when(tail, F.col("shape")).otherwise(F.lit("prose"))
+        tail = tail | F.coalesce((v < -TAIL) if s in LOW_ONLY else (F.abs(v) > TAIL), F.lit(False))
+    held = F.when(F.col("lang").isin(*known), F.col("lang")) if known else F.lit(None).cast("string")
+    joined = measured.withColumn("_held", held).join(F.broadcast(scales), F.col("_held").eqNullSafe(F.col("scale_lang")))
+    kind = F.when(tail | ~F.col("told"), F.col("shape")).otherwise(F.lit("prose"))
     return joined.select("field", "rec_id", "lang", "words", *STATS, *(v.alias(f"z_{s}") for s, v in z.items()), tail.alias("flagged"), "shape", kind.alias("kind"))

@@ -143,6 +143,17 @@ def test_tails(spark):
     assert quality.scored(quality.profiles(fields(spark, []), common)).count() == 0
 
 
+@pytest.mark.parametrize("n,lists", [(100, 40), (100, 90), (20, 8), (5, 5)])
+def test_many_lists_in_one_language(spark, n, lists):
+    rnd = random.Random(7)
+    vocabulary = WORDS["en"] + [f"word{c}" for c in "abcdefghijklmnopqrstuvw"]
+    entries = ["\n".join(" ".join(rnd.choices(vocabulary, k=3)) for _ in range(9)) for _ in range(lists)]
+    prose = [". ".join(" ".join(rnd.choices(vocabulary, k=rnd.randrange(3, 14))).capitalize() for _ in range(6)) + "." for _ in range(n - lists)]
+    records = [*entries, *prose]
+    rows = quality.scored(quality.profiles(fields(spark, records), frame(spark, [("en", w) for w in WORDS["en"]], "lang string, word string"))).collect()
+    assert {r.rec_id for r in rows if r.kind == "list"} == set(range(lists)) and {r.rec_id for r in rows if r.kind == "prose"} == set(range(lists, n))
+
+
 # ---- 4 sentences
 SENTENCES = [
     'He said, "Is it so?" |Then we left. |"No!" said he. |It cost approx. 5 for Dr. T. Rao vs. us, etc.',
