@@ -16,7 +16,8 @@ how their own prose looks: there the shape alone decides. It also does where the
 prose of a language is so mixed that no value of a statistic in ``DECISIVE``
 lies in its tail.
 Words are runs without white space; in Chinese every character is a word, in
-Thai every piece between common words. Null and blank records have no
+Thai every common word (the longest at its place) and every piece with a letter
+or digit between two of them or at an end of the run. Null and blank records have no
 statistics (kind null). A record of any length is measured whole.
 """
 
@@ -73,6 +74,7 @@ _SPACED = re.compile(r"[ \t]{2,}")
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]*>|&[a-z]+;|&#\d+;")
 _CODE = re.compile(r"[{};]\s*(?=$|\n|[a-zA-Z.#}])|\b(?:var|function|return|document|if|else|const|let|margin|padding|color|display)\b\s*[(:=.{]|\w\(['\"\w]*\)|=>|==|\|\|")
 _HEXLIKE = re.compile(r"(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{6,}|\d{7,}|(?=[\w+/=-]*\d)(?=[\w+/=-]*[A-Z])(?=[\w+/=-]*[a-z])[\w+/=-]{12,}|[A-Z0-9]{3,}-\d[\w-]*", re.A)
+_WORDLIKE = re.compile(r"[^\W_]")
 _LATIN = re.compile(r"[A-Za-z]+")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q[^u]|[jvwxz][bcdfgjkmpqtvwxz]|[bcdfgjkmpqtvwxz][jx]", re.I)
 
@@ -134,6 +136,16 @@ def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
             return best, hits[best] / len(words)
         return kind, 0.0
 
+    def thai_words(runs: list[str]) -> tuple[int, int]:
+        """Common words and words of runs without white space, each run cut at its common words."""
+        hits = total = 0
+        for run in runs:
+            parts = thai.split(run)  # one more than there are common words
+            found = len(parts) - 1
+            hits += found
+            total += (found + sum(1 for p in parts if p and _WORDLIKE.search(p))) or 1
+        return hits, total
+
     def profile(text: str) -> tuple | None:
         if _WIDE.search(text):
             text = text.translate(_NARROW)
@@ -149,8 +161,7 @@ def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
             n_words = max(1, sum(map(str.isalpha, text)))
             share = hits / n_words
         elif lang == "th":
-            n_common = len(thai.findall(text))
-            n_words = max(n, n_common * 2)
+            n_common, n_words = thai_words(words)
             share = n_common / n_words
         else:
             n_words = n

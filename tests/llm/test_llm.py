@@ -143,6 +143,16 @@ def test_tails(spark):
     assert quality.scored(quality.profiles(fields(spark, []), common)).count() == 0
 
 
+def test_thai_words_are_counted():
+    p = quality.profiler({"th": ["ที่", "และ", "เป็น", "การ", "การที่"]})
+    lang, words, length, *_ = p("บ้านที่ดีและ เป็นเมือง.")  # house|that|good|and, is|town.
+    assert (lang, words, length) == ("th", 6, 22 / 6)
+    share = list(quality.STATS).index("common_words") + 2
+    assert p("บ้านที่ดีและ เป็นเมือง.")[share] == 3 / 6
+    assert p("การที่และที่")[1:3] == (3, 4.0) and p("การที่และที่")[share] == 1.0
+    assert p("บ้าน เมือง ดี ที่ -")[1] == 5 and p("บ้าน เมือง ดี ที่ -")[share] == 1 / 5
+
+
 @pytest.mark.parametrize("n,lists", [(100, 40), (100, 90), (20, 8), (5, 5)])
 def test_many_lists_in_one_language(spark, n, lists):
     rnd = random.Random(7)
