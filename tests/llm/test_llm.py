@@ -43,6 +43,11 @@ def test_items(text, want):
     assert [(k, text[a:b]) for a, b, k in found] == want
 
 
+@pytest.mark.parametrize("mail", ["info ( at ) mail.example", "info [ at ] mail.example", "info(At)mail.example", "info { At } mail.example", "info at mail DOT example", "info at\tmail\tdot example"])
+def test_spelled_signs_alone_in_a_text(mail):
+    assert list(pii.finder(NAMES)("Write to " + mail + " today")) == [(9, 9 + len(mail), "email")]
+
+
 def test_pseudonyms_keep_format_and_come_back():
     rnd = random.Random(1)
     for n in (2, 3, 7, 10, 12, 25):
