@@ -24,6 +24,7 @@ row is judged by its own text, so copies agree.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,14 +98,44 @@ def _possible(span: str, plain: str, before: str, after: str) -> bool:
     return True
 
 
+#: how a span of sound text shows: letters, then marks that close a word, or a space that doesn't break and anything
+_NATURAL = re.compile("[^\\W\\d_]+(?:[\u2026\u2019\u201d\xbb\u203a\u2013\u2014\xb7\xb0\xb2\xb3\xb9\xba\xaa\xae\xa9\u2122\u2022]*|\xa0.*)", re.S)
+
+
+def _telling(span: str, decoded: str) -> bool:
+    """Whether one of the span's characters of three or four bytes is damage even alone.
+
+    All are but those whose bytes show as sound text: letters of one script and
+    case with a mark that closes a word ('oubli\xe9\u2026\xbb'), as any page has them.
+    """
+    at = 0
+    for c in decoded:
+        size = len(c.encode("utf-8"))
+        shown, at = span[at : at + size], at + size
+        if size < 3:
+            continue
+        letters = "".join(x for x in shown if x.isalpha())
+        cased = not letters or letters.islower() or letters.isupper() or letters.istitle()
+        scripts = {unicodedata.name(x, "").split(" ", 1)[0] for x in letters}
+        if not (cased and len(scripts) < 2 and _NATURAL.fullmatch(shown)):
+            return True
+        # a symbol whose bytes are two letters and a mark ('\xe2\u0153\u201d')
+        if unicodedata.category(c)[0] == "S" and not shown.isalpha() and shown[1].isalpha():
+            return True
+    return False
+
+
 def _spans(page: str, text: str) -> list[tuple[int, int, str]]:
-    """(start, end, decoded) of the page's spans; a lone letter of a rare script is no damage."""
+    """(start, end, decoded) of the page's spans; a lone letter of a rare script is no damage.
+
+    That holds for characters of two bytes, and for longer ones that sound text can show.
+    """
     found = [(m.start(), m.end(), p) for m in automaton(page).finditer(text) if _possible(m.group(), p := _decoded(page, m.group()), text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1])]
     blocks: dict[int, int] = {}
     for _, _, p in found:
         for c in p:
             blocks[ord(c) >> 7] = blocks.get(ord(c) >> 7, 0) + 1
-    return [x for x in found if any(_plain(c) or blocks[ord(c) >> 7] > 1 for c in x[2])]
+    return [x for x in found if any(_plain(c) or blocks[ord(c) >> 7] > 1 for c in x[2]) or _telling(text[x[0] : x[1]], x[2])]
 
 
 def decode_spans(text: str) -> tuple[str, bool]:

@@ -325,6 +325,19 @@ def test_sound_text_stays(text):
     assert mojibake.repair(text) == (text, "sound")
 
 
+@pytest.mark.parametrize("sign", ["\U0001f600", "\u2192", "\u2713", "\u2714", "\u2605", "\u25ba", "\U0001f600\u2192", "\u2764\ufe0f", "\u0c05", "\u3002"])
+@pytest.mark.parametrize("page", ["cp1252", "mac_roman", "cp437"])
+def test_one_garbled_sign(sign, page):
+    table = {b: c for c, b in mojibake.page_bytes(page).items()}
+    shown = "".join(table[b] for b in sign.encode("utf-8"))
+    assert mojibake.repair(f"all is well {shown} today") == (f"all is well {sign} today", "restored")
+
+
+@pytest.mark.parametrize("text", ["\xabJe suis oubli\xe9\u2026\xbb", "\xab\xa0le caf\xe9\xa0\xbb", "\u0432\xa0\xab\u041c\u043e\u0441\u043a\u0432\u0435\xbb", "\u043d\u0430\u0434\u0456\u0457", "\u043b\u044e\u0431\u2026\xbb", "\u0442\u0430\u043c"])
+def test_marks_after_a_letter_are_sound(text):
+    assert mojibake.repair(text) == (text, "sound")
+
+
 def test_lost_bytes(spark):
     df = frame(spark, [(1, "na�ve", 1), (2, "caf\x8e", 1), (3, "ok", 1), (4, None, 1)], "doc_id bigint, text string, status int")
     assert {r.doc_id: r.status for r in mojibake.repair_corpus(df, "doc_id", "text").collect()} == {1: "lossy", 2: "lossy", 3: "sound", 4: "sound"}
