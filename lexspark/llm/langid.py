@@ -5,7 +5,9 @@ is scored by character n-grams and by the frequent words of each language. A
 Viterbi pass over the words of a text finds the labelling of least cost, with
 a high penalty for a switch within a sentence and a low one between sentences,
 so single foreign words keep the language around them while foreign sentences
-don't. Runs of one label are segments; a segment's confidence is the share of
+don't. Sentences of two words or more in a script that the language around them
+doesn't use, and the cells of lists and tables (judged together per column and
+script over the whole text), are labelled by their own words. Runs of one label are segments; a segment's confidence is the share of
 its best label's weight among all candidates, and a text's language is the one
 that holds most letters.
 
@@ -41,6 +43,8 @@ FOREIGN, MOST = 5.0, 4.0
 #: longest n-gram, words a task remembers
 NGRAM = 4
 KEPT_WORDS = 300_000
+#: rows a list or table has at least, and cells a language needs in a column; words of a cell, at most
+ROWS, CELL_WORDS = 3, 4
 #: model classes of the scripts that several languages share
 CLASSES = {"Latin": ("en", "de", "fr", "es", "te-Latn"), "Devanagari": ("hi", "mr")}
 #: languages with a script of their own
@@ -151,8 +155,14 @@ def fit(reference: DataFrame, text_col: str, lang_col: str, common_words: DataFr
 
 _UNIT = re.compile(r"\S+|\n\s*")
 _ENDS = re.compile(r"[.!?।॥…。！？．;|»]+[\"'”’»)\]“]*$")
+#: a dot that ends an abbreviation ('no. 5', 'approx. half'), not a sentence
+_ABBREVIATED = re.compile(r"\.[ \t]+[\da-z\xe0-\xff]")
 _HAN_END = re.compile("(?<=[。！？])(?=[^”’」』）。！？])")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ഄ\u200c\u200dัิ-ฺ็-๎]|[ऺ-ൿ])*")
+#: what parts the cells of a row: a sign by itself or at the end of a word, or a gap
+_PARTS = frozenset(["|", "-", "–", "—", "=", ":", "/", "→", "•"])
+_PART_END = (":", "|", ";", ",", "=")
+_GAP = re.compile(r"\t|[ \u3000]{2,}")
 _SQUEEZE = re.compile("[\xa0\xad\u2000-\u200b\u202f\u2060\u3000\ufeff\ufb00-\ufb06\uff01-\uff5e]")
 
 
@@ -196,25 +206,82 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
             memo[unit] = out
         return out
 
+    def best_class(group: list) -> tuple[str, dict[str, float]]:
+        totals = {c: sum(u[4][c] for u in group) for c in group[0][4]}
+        return min(totals, key=lambda c: (totals[c], c)), totals
+
+    def abbreviated(text: str, unit: tuple) -> bool:
+        return _ABBREVIATED.match(text, unit[1] - 1) is not None
+
+    def short_sentences(text: str, units: list, labels: list[str]) -> None:
+        """Relabel sentences of two words or more whose one script their label doesn't use."""
+        i, n = 0, len(units)
+        while i < n:
+            j = i + 1
+            while j < n and not units[j][5]:
+                j += 1
+            words = sum(2 if u[2] >= 12 else 1 for u in units[i:j])
+            cut = abbreviated(text, units[j - 1]) or (i > 0 and abbreviated(text, units[i - 1]))
+            if words > 1 and not cut and all(u[3] == units[i][3] and label not in u[4] for u, label in zip(units[i:j], labels[i:j])):
+                labels[i:j] = [best_class(units[i:j])[0]] * (j - i)
+            i = j
+
+    def entries(text: str, units: list, places: list[tuple[int, int]], labels: list[str]) -> list[bool]:
+        """Label the cells of a list or table per column and script; whether a unit belongs to such a cell."""
+        entry = [False] * len(units)
+        rows: dict[int, dict[int, list[int]]] = {}
+        for k, (line, column) in enumerate(places):
+            rows.setdefault(line, {}).setdefault(column, []).append(k)
+        short = [row for row in rows.values() if all(len(c) <= CELL_WORDS and all(units[k][2] < 24 for k in c) for c in row.values())]
+        if len(short) < ROWS or len(short) < 0.7 * len(rows):
+            return entry
+        columns: dict[tuple[int, str], list[list[int]]] = {}
+        for row in short:
+            for column, cell in row.items():
+                script = units[cell[0]][3]
+                # codes and capitals are no words of a language
+                if all(units[k][3] == script and not any(map(str.isdigit, w := text[units[k][0] : units[k][1]])) and not w.isupper() for k in cell):
+                    columns.setdefault((column, script), []).append(cell)
+        for cells in columns.values():
+            if len(cells) < ROWS:
+                continue
+            best, totals = best_class([units[k] for cell in cells for k in cell])
+            for k in (k for cell in cells for k in cell):
+                if labels[k] not in totals or totals[labels[k]] - totals[best] > SWITCH:
+                    labels[k] = best
+                entry[k] = True
+        return entry
+
     def segments(text: str) -> list[tuple[int, int, str, float, bool]]:
         # units with their place, script and whether a new sentence may begin before them
         units: list[tuple[int, int, int, str, dict[str, float], bool]] = []
+        places: list[tuple[int, int]] = []  # line and column of every unit
         fresh = True
+        line = column = last = 0
+        parted = False
         for m in _UNIT.finditer(text):
             unit = m.group()
             if unit[0] == "\n":
                 fresh = True
+                line, column, parted, last = line + 1, 0, False, m.end()
                 continue
             at = m.start()
+            parted = parted or unit in _PARTS or (at - last > 0 and _GAP.search(text, last, at) is not None)
+            last = m.end()
             pieces = _HAN_END.split(unit) if "。" in unit or "！" in unit or "？" in unit else (unit,)
             for piece in pieces:
                 script, n, costs = memo.get(piece) or look(piece)
                 if n:
+                    if parted and places and places[-1][0] == line:
+                        column += 1
+                    parted = False
+                    places.append((line, column))
                     units.append((at, at + len(piece), n, script, costs, fresh))
                     fresh = False
                 if not fresh and _ENDS.search(piece):
                     fresh = True
                 at += len(piece)
+            parted = parted or unit.endswith(_PART_END)
         if not units:
             return []
         states = sorted({c for u in units for c in u[4]})
@@ -243,6 +310,8 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
             state = came[state]
             labels.append(state)
         labels.reverse()
+        short_sentences(text, units, labels)
+        entry = entries(text, units, places, labels)
         out = []
         i, n = 0, len(units)
         while i < n:
@@ -262,7 +331,9 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
                 j += 1
             if opened and (j == n or units[j][5]):
                 whole = True
-            whole = whole and (words > 2 or j - i == n)  # one or two foreign words are no sentence
+            # one foreign word is no sentence, nor are two before an abbreviation's dot
+            enough = words > 2 or j - i == n or (words == 2 and not abbreviated(text, units[j - 1]) and not (i > 0 and abbreviated(text, units[i - 1])))
+            whole = (whole and enough) or any(entry[i:j])
             label = labels[i]
             other = min((totals[s] for s in states if s[:2] != label[:2]), default=60.0)
             confidence = 1.0 / (1.0 + math.exp(-min(60.0, max(-60.0, other - totals[label]))))

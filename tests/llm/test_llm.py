@@ -233,6 +233,26 @@ def test_segments(spark):
         tag(t)
 
 
+def test_short_sentences_and_cells(spark):
+    rnd = random.Random(3)
+    vocab = {"en": "the house water table light word".split(), "de": "guten morgen haus wasser tisch licht".split()}
+    ref = frame(spark, [(c, " ".join(rnd.choices(w, k=40))) for c, w in vocab.items() for _ in range(30)], "lang string, text string")
+    common = frame(spark, [("en", "the"), ("de", "der")], "lang string, word string")
+    tag = langid.tagger(langid.fit(ref, "text", "lang", common, 30))
+
+    def held(text):
+        return {lang for _, _, lang, _, whole in tag(text) if whole}
+
+    telugu = "ఆయన ఇలా అన్నారు. {} ఒక రైలు నగరం వచ్చింది."
+    assert held(telugu.format("Guten Morgen!")) == {"te", "de"}
+    assert held(telugu.format("Morgen!")) == {"te"} and held("ఆయన guten morgen ఇలా అన్నారు.") == {"te"}
+    pairs = [("ఇల్లు", "house"), ("నీరు", "water"), ("పదం", "word"), ("బల్ల", "table")]
+    for sep in (" | ", "\t", " - ", ": ", "   "):
+        assert held("\n".join(a + sep + b for a, b in pairs)) == {"te", "en"}, sep
+    assert held("\n".join(f"{a} నది | {b} light" for a, b in pairs)) == {"te", "en"}
+    assert held("\n".join(f"{a} | AB-{i}1" for i, (a, _) in enumerate(pairs))) == {"te"}
+
+
 # ---- 6 terms
 def test_terms_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(termfreq, "RUN_TERMS", 5)  # many runs
