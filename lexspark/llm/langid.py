@@ -345,7 +345,6 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
 
 
 _SEGMENT = "rec_id bigint, label string, start_pos bigint, end_pos bigint, lang string, confidence double, whole boolean, letters bigint"
-_ODD_TEXT = re.compile(r"[<{=\\]|\S{40}|\d{6}|[0-9a-f]{8}")
 
 
 def segment_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, model: Model, common_words: DataFrame) -> DataFrame:
@@ -360,10 +359,6 @@ def segment_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str,
         profile = profiler(common)
 
         def junk(text: str) -> bool:
-            # the full measure only for texts that have anything in common with junk
-            words = text.split()
-            if len(words) > 2 and len(set(words)) > 0.3 * len(words) and not text.isascii() and not _ODD_TEXT.search(text):
-                return False
             p = profile(text)
             return p is not None and p[-1] == "junk"
 

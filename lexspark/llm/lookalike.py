@@ -254,7 +254,8 @@ def same_looking(keys: DataFrame) -> DataFrame:
     """(field, first_id, other_id): rows that look like an earlier row but are written otherwise.
 
     Groups are found by combining aggregation; only groups with two texts or
-    more meet their rows again. AQE splits a group that is too large for a task.
+    more meet their rows again. All rows of a group meet in one task: AQE doesn't
+    split this join, as one of its sides is an aggregate.
     """
     key = ["field", "k1", "k2"]
     groups = keys.groupBy(*key).agg(F.min("id").alias("first_id"), F.min_by("t1", "id").alias("f1"), F.min_by("t2", "id").alias("f2"), F.min("t1").alias("a1"), F.max("t1").alias("b1"), F.min("t2").alias("a2"), F.max("t2").alias("b2"))

@@ -253,6 +253,15 @@ def test_short_sentences_and_cells(spark):
     assert held("\n".join(f"{a} | AB-{i}1" for i, (a, _) in enumerate(pairs))) == {"te"}
 
 
+def test_junk_with_one_accent_has_no_language(spark):
+    text = "xqzjv bcdfgh wxkzt pqrst vbnmk zxcvb qwrtp hjklm dfghj ptrsk mnbvc \xe9"
+    common = frame(spark, [("en", "the"), ("de", "der")], "lang string, word string")
+    assert quality.profiler({"en": ["the"], "de": ["der"]})(text)[-1] == "junk"
+    ref = frame(spark, [(c, "the house water table light word and that is all " * 3) for c in ("en", "de")], "lang string, text string")
+    df = frame(spark, [(1, text, "te")], "rec_id bigint, t string, lang string")
+    assert langid.segment_languages(df, "rec_id", "t", "lang", langid.fit(ref, "text", "lang", common, 10), common).count() == 0
+
+
 # ---- 6 terms
 def test_terms_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(termfreq, "RUN_TERMS", 5)  # many runs
