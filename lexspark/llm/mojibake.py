@@ -10,8 +10,9 @@ garbled again are decoded again (text wrongly decoded twice).
 The automaton is written as one regular expression per code page over the
 page's characters. Further damage has its own scans:
 
-* bytes lost on the way (a span with U+FFFD or '?' in place of a byte that the
-  page leaves undefined): found, and restored but for that character;
+* bytes lost on the way: a text with U+FFFD is found and 'lossy'; the lead bytes
+  beside it stay as shown. A '?' in place of a byte is not told from a question
+  mark: such a span stays as it is, and alone it is not found;
 * U+FFFD inside a word or beside it, left by a legacy text decoded as UTF-8:
   found, not restorable;
 * text in 16-bit units decoded with the wrong unit size: characters whose
