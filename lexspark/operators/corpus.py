@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
@@ -14,19 +14,46 @@ def documents(df: DataFrame, text_field: str, order_field: str) -> DataFrame:
     return df.select(F.col(order_field).cast("bigint").alias("doc_ord"), text.alias("text"))
 
 
+#: bits of ``doc_ord`` told apart at each level of the search for the n-th one
+_LEVELS = (48, 32, 16, 0)
+
+
+def nth_ord(docs: DataFrame, n: int) -> Column:
+    """The ``n``-th smallest ``doc_ord`` as a scalar subquery; null where there are fewer.
+
+    Nested histograms over the ordinals alone: documents are counted by the
+    upper bits, the bucket in which the running count reaches ``n`` is cut by
+    the next bits. A level has at most 65,536 rows, whatever the table's size,
+    and no document text is read.
+    """
+    found: Column | None = None
+    for level, shift in enumerate(_LEVELS):
+        part = docs.select("doc_ord").where(F.col("doc_ord").isNotNull())
+        if found is None:
+            part = part.withColumn("below", F.lit(0).cast("bigint"))
+        else:
+            part = part.withColumn("_at", found).where(F.shiftright("doc_ord", _LEVELS[level - 1]) == F.col("_at.b")).withColumn("below", F.col("_at.below"))
+        counts = part.groupBy(F.shiftright("doc_ord", shift).alias("b"), "below").agg(F.count("*").alias("n"))
+        upto = counts.withColumn("upto", F.col("below") + F.sum("n").over(Window.orderBy("b")))  # the level's few rows
+        found = upto.where(F.col("upto") >= n).agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("below")))).scalar()
+    return found["b"]
+
+
 def limit_documents(docs: DataFrame, n: int, literal: bool = False) -> DataFrame:
-    """The first ``n`` documents by ``doc_ord``.
+    """The first ``n`` documents by ``doc_ord``, which is unique; documents without one are never among them.
+
+    The limit is a threshold on ``doc_ord``: documents are neither sorted nor
+    moved, and the plan is lazy. 0 or less keeps nothing.
 
     ``literal``: the limit is only tested after a document with text, so empty
     ones at the limit let more through (the first document with text at or
-    after the n-th ends the run).
+    after the n-th ends the run); 0 or less counts as 1.
     """
     if not literal:
-        return docs.orderBy("doc_ord").limit(n)
-    nth = docs.orderBy("doc_ord").limit(max(n, 1)).agg(F.max("doc_ord").alias("nth"), F.count("*").alias("n")).first()
-    if nth.n < max(n, 1):
-        return docs
-    last = docs.where((F.col("doc_ord") >= nth.nth) & (F.col("text") != "")).agg(F.min("doc_ord")).scalar()
+        if n <= 0:
+            return docs.where(F.lit(False))
+        return docs.where(F.col("doc_ord") <= F.coalesce(nth_ord(docs, n), F.lit((1 << 63) - 1)))
+    last = docs.where((F.col("doc_ord") >= nth_ord(docs, max(n, 1))) & (F.col("text") != "")).agg(F.min("doc_ord")).scalar()
     return docs.where(F.col("doc_ord") <= F.coalesce(last, F.lit((1 << 63) - 1)))
 
 
@@ -64,19 +91,16 @@ def _totals(rows: DataFrame, **measures: Column) -> DataFrame:
     return by_token.agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in sums), F.count("*").alias("types"))
 
 
-def inline_statistics(docs: DataFrame) -> DataFrame:
-    """One row: documents, sentences, words, characters (joining spaces included), averages, distinct tokens.
-
-    The average word length here is characters per word, spaces included. All
-    values are unrounded; zero denominators give 0.
-    """
-    totals = _totals(tokenized_sentences(docs), total_words=F.size("tokens"), total_characters=F.length("tokenized_sentence"))
+def run_statistics(sentences: DataFrame, documents: Column, original_characters: Column) -> DataFrame:
+    """One row of the statistics of a run, from its ``tokens`` and ``tokenized_sentence``."""
+    totals = _totals(sentences, total_words=F.size("tokens"), total_characters=F.length("tokenized_sentence"))
     words = F.col("total_words")
     return totals.select(
-        docs.agg(F.count("*")).scalar().alias("total_documents"),
+        documents.alias("total_documents"),
         "total_sentences",
         "total_words",
         "total_characters",
+        original_characters.alias("original_characters"),
         ratio(words, F.col("total_sentences")).alias("average_sentence_length"),
         ratio(F.col("total_characters"), words).alias("average_word_length"),
         F.col("types").alias("unique_tokens"),
@@ -84,6 +108,22 @@ def inline_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def document_counts(docs: DataFrame) -> dict[str, Column]:
+    """Aggregates over the documents of a run: all of them, and the characters of their texts as given."""
+    return {"documents": F.count("*"), "characters": F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint")}
+
+
+def inline_statistics(docs: DataFrame) -> DataFrame:
+    """One row: documents, sentences, words, characters (joining spaces included), averages, distinct tokens.
+
+    The average word length here is characters per word, spaces included;
+    ``original_characters`` are those of the texts as given. All values are
+    unrounded; zero denominators give 0.
+    """
+    counts = {k: docs.agg(v).scalar() for k, v in document_counts(docs).items()}
+    return run_statistics(tokenized_sentences(docs), counts["documents"], counts["characters"])
+
+
 def table_statistics(df: DataFrame, column: str = "tokenized_sentence") -> DataFrame:
     """One row of statistics of a persisted table; the average word length leaves spaces out.
 

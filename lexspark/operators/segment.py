@@ -1,25 +1,29 @@
-"""Word boundaries in unspaced text: longest match and maximum probability, as joins and folds.
+"""Word boundaries in unspaced text: longest match and maximum probability.
 
 A case's candidate words are its substrings of at most the vocabulary's
-longest word, joined with the vocabulary. The best word is then chosen per
-position by folds over the candidates of one case, so work and memory follow
-the text's length times the longest word. Cases longer than ``LONG``
-characters are folded in Arrow batches, where arrays needn't be copied.
+longest word that the vocabulary holds. One walk over the candidates of a case
+gives both segmentations, so work and memory follow the text's length times
+the longest word. A vocabulary of at most ``HELD_WORDS`` words goes to the
+tasks, which look its words up in place; a larger one is joined with the
+substrings. Either way the same walk runs over the same candidates.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 
-#: characters beyond which a case is folded outside of SQL expressions
-LONG = 400
+#: words (of together at most ``HELD_CHARACTERS``) a task can hold
+HELD_WORDS, HELD_CHARACTERS = 200_000, 4_000_000
+
+#: (length, log probability) of the words that start at each place
+Edges = list[list[tuple[int, float]]]
 
 
 def vocabulary(df: DataFrame) -> DataFrame:
@@ -27,118 +31,106 @@ def vocabulary(df: DataFrame) -> DataFrame:
     return df.where((F.col("cnt") > 0) & (F.col("word") != "")).groupBy("word").agg(F.sum("cnt").alias("cnt"))
 
 
-def _cases(cases: DataFrame) -> DataFrame:
-    """Null inputs count as empty."""
-    return cases.withColumn("input", F.coalesce("input", F.lit("")))
+def _weighted(vocab: DataFrame, total: Column | int) -> DataFrame:
+    total_col = F.lit(total) if isinstance(total, int) else total
+    return vocab.select("word", F.ln(F.col("cnt") / total_col).alias("logp"))
+
+
+def held(vocab: DataFrame, total: Column | int) -> dict[str, float] | None:
+    """Word -> log probability if the vocabulary is small enough to be held, else None."""
+    size = vocab.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("c")).first()
+    if size.n > HELD_WORDS or size.c > HELD_CHARACTERS:
+        return None
+    return {r.word: r.logp for r in _weighted(vocab, total).collect()}  # at most HELD_WORDS rows
 
 
 def candidates(cases: DataFrame, vocab: DataFrame, total: Column | int) -> DataFrame:
-    """(case_id, start, len, word, logp): every vocabulary word of every case; ``start`` counts from 0."""
-    cases = _cases(cases)
+    """(case_id, start, len, logp): every vocabulary word of every case; ``start`` counts from 0."""
     longest = vocab.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).scalar()
     n = F.length("input")
-    starts = cases.where((n > 0) & (longest > 0)).select("case_id", "input", n.alias("n"), longest.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    pieces = starts.select("case_id", "start", "input", F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.col("n") - F.col("start")))).alias("len"))
-    words = pieces.select("case_id", "start", "len", F.expr("substring(input, start + 1, len)").alias("word"))
-    total_col = F.lit(total) if isinstance(total, int) else total
-    return words.join(vocab, "word").select("case_id", "start", "len", "word", F.ln(F.col("cnt") / total_col).alias("logp"))
+    starts = cases.where((n > 0) & (longest > 0)).select("case_id", "input", longest.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    # the text stays behind: only the piece a word can fill goes on
+    pieces = starts.select("case_id", "start", F.substring("input", F.col("start") + 1, F.col("m")).alias("piece"))
+    words = pieces.select("case_id", "start", "piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("len")).select("case_id", "start", "len", F.left("piece", "len").alias("word"))
+    return words.join(_weighted(vocab, total), "word").select("case_id", "start", "len", "logp")
 
 
-def greedy(cases: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(case_id, words): at each position the longest word, or one character where none fits."""
-    cases = _cases(cases)
-    edges = candidates(cases, vocab, 1)
-    best = edges.groupBy("case_id", "start").agg(F.max("len").alias("len"))
-    tables = best.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("start", "len"))).alias("longest"))
-    with_table = cases.select("case_id", "input").join(tables, "case_id", "left")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("words"))
+def longest_match(text: str, edges: Edges) -> list[str]:
+    """At each position the longest word, or one character where none fits."""
+    words, i = [], 0
+    while i < len(text):
+        k = max((size for size, _ in edges[i]), default=1)
+        words.append(text[i : i + k])
+        i += k
+    return words
 
-    def step(acc: Column, i: Column) -> Column:
-        size = F.coalesce(F.try_element_at("longest", i), F.lit(1))
-        taken = F.struct((i + size).alias("at"), F.concat(acc["words"], F.array(F.substring(F.col("input"), i + 1, size))).alias("words"))
-        return F.when(acc["at"] == i, taken).otherwise(acc)
 
-    n = F.length("input")
-    short = with_table.where(n <= LONG)
-    folded = short.select("case_id", F.when(F.length("input") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), zero, step)["words"]).otherwise(F.array().cast("array<string>")).alias("words"))
-    far = with_table.where(n > LONG).select("case_id", "input", F.map_keys("longest").alias("starts"), F.map_values("longest").alias("lens"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, starts, lens in zip(pdf["input"], pdf["starts"], pdf["lens"]):
-                jump = {} if starts is None else dict(zip(starts, lens))
-                words, i = [], 0
-                while i < len(text):
-                    k = int(jump.get(i, 1))
-                    words.append(text[i : i + k])
-                    i += k
-                out.append(words)
-            yield pd.DataFrame({"case_id": pdf["case_id"], "words": out})
-
-    return folded.unionByName(far.mapInPandas(walk, "case_id bigint, words array<string>"))
-
-
-def most_probable(cases: DataFrame, vocab: DataFrame, total: Column | int) -> DataFrame:
-    """(case_id, words): the segmentation of highest unigram probability.
-
-    Ties keep the shortest last word. A position that no vocabulary word
-    reaches from a reachable one yields single characters, so everything after
-    an unknown character does.
-    """
-    cases = _cases(cases)
-    edges = candidates(cases, vocab, total)
-    entry = F.struct((F.col("start") + F.col("len")).alias("end"), F.col("len"), F.col("start"), F.col("logp"))
-    tables = edges.groupBy("case_id").agg(F.array_sort(F.collect_list(entry)).alias("edges"))
-    with_edges = cases.select("case_id", "input").join(tables, "case_id", "left")
-    n = F.length("input")
+def most_probable(text: str, edges: Edges) -> list[str]:
+    """The segmentation of highest unigram probability.
 
-    # best[end]: (score, len of the last word), null where nothing reaches
-    cell = "struct<score:double,len:int>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("len")))
-
-    def relax(best: Column, end: Column) -> Column:
-        mine = F.filter("edges", lambda e: e["end"] == end)
-        none = F.lit(None).cast(cell)
-
-        def better(acc: Column, e: Column) -> Column:
-            before = F.try_element_at(best, e["start"] + 1)["score"]
-            score = before + e["logp"]
-            return F.when(before.isNotNull() & (acc.isNull() | (score > acc["score"])), F.struct(score.alias("score"), e["len"].cast("int").alias("len"))).otherwise(acc)
-
-        return F.concat(best, F.array(F.aggregate(mine, none, better)))
-
-    table = F.aggregate(F.sequence(F.lit(1), n), first.cast(f"array<{cell}>"), relax)
-    short = with_edges.where((n > 0) & (n <= LONG)).select("case_id", "input", n.alias("n"), F.when(F.col("edges").isNotNull(), table).alias("best"))
-    zero = F.struct(F.col("n").alias("at"), F.array().cast("array<string>").alias("words"))
-
-    def back(acc: Column, k: Column) -> Column:
-        end = F.col("n") - k
-        size = F.coalesce(F.try_element_at("best", end + 1)["len"], F.lit(1))
-        taken = F.struct((end - size).alias("at"), F.concat(F.array(F.substring(F.col("input"), end - size + 1, size)), acc["words"]).alias("words"))
-        return F.when(acc["at"] == end, taken).otherwise(acc)
-
-    folded = short.select("case_id", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), zero, back)["words"].alias("words"))
-    empty = with_edges.where(F.coalesce(n, F.lit(0)) == 0).select("case_id", F.array().cast("array<string>").alias("words"))
-    far = with_edges.where(n > LONG).select("case_id", "input", F.transform("edges", lambda e: e["start"]).alias("s"), F.transform("edges", lambda e: e["len"]).alias("l"), F.transform("edges", lambda e: e["logp"]).alias("p"))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, starts, lens, logs in zip(pdf["input"], pdf["s"], pdf["l"], pdf["p"]):
-                score, last = [-math.inf] * (len(text) + 1), [1] * (len(text) + 1)
-                score[0] = 0.0
-                for a, k, p in zip(*([] if x is None else x for x in (starts, lens, logs))):
-                    if (s := score[a] + p) > score[a + k]:
-                        score[a + k], last[a + k] = s, int(k)
-                words, end = [], len(text)
-                while end > 0:
-                    words.append(text[end - last[end] : end])
-                    end -= last[end]
-                out.append(words[::-1])
-            yield pd.DataFrame({"case_id": pdf["case_id"], "words": out})
-
-    return folded.unionByName(empty).unionByName(far.mapInPandas(solve, "case_id bigint, words array<string>"))
+    Ties keep the shortest last word. A position that no word reaches from a
+    reachable one yields single characters, so everything after an unknown
+    character does.
+    """
+    score, last = [-math.inf] * (len(text) + 1), [1] * (len(text) + 1)
+    score[0] = 0.0
+    for a, words in enumerate(edges):
+        base = score[a]
+        if base == -math.inf:
+            continue
+        for size, logp in words:
+            # later starts are shorter last words: they win ties
+            if (s := base + logp) >= score[a + size]:
+                score[a + size], last[a + size] = s, size
+    out, end = [], len(text)
+    while end > 0:
+        out.append(text[end - last[end] : end])
+        end -= last[end]
+    return out[::-1]
+
+
+_SCHEMA = "case_id bigint, greedy array<string>, dp array<string>"
+
+
+def _walk(edges_of: Callable[[pa.RecordBatch, int, str], Edges]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                greedy, dp = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    edges = edges_of(batch, i, text)
+                    greedy.append(longest_match(text, edges))
+                    dp.append(most_probable(text, edges))
+                kind = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(greedy, kind), pa.array(dp, kind)], names=["case_id", "greedy", "dp"])
+
+    return run
+
+
+def segmentations(cases: DataFrame, vocab: DataFrame, total: Column | int) -> DataFrame:
+    """(case_id, greedy, dp): both segmentations of every case; null inputs count as empty."""
+    texts = cases.select(F.col("case_id").cast("bigint").alias("case_id"), F.coalesce("input", F.lit("")).alias("input"))
+    words = held(vocab, total)
+    if words is not None:
+        shared = cases.sparkSession.sparkContext.broadcast((words, max(map(len, words), default=0)))
+
+        def look_up(_: pa.RecordBatch, __: int, text: str) -> Edges:
+            known, longest = shared.value
+            return [[(b - a, p) for b in range(a + 1, min(len(text), a + longest) + 1) if (p := known.get(text[a:b])) is not None] for a in range(len(text))]
+
+        return texts.mapInArrow(_walk(look_up), _SCHEMA)
+    found = candidates(texts, vocab, total).groupBy("case_id").agg(F.collect_list(F.struct("start", "len", "logp")).alias("edges"))
+    joined = texts.join(found, "case_id", "left").select("case_id", "input", "edges.start", "edges.len", "edges.logp")
+
+    def joined_edges(batch: pa.RecordBatch, i: int, text: str) -> Edges:
+        edges: Edges = [[] for _ in text]
+        starts, sizes, logs = (batch.column(c)[i].as_py() or [] for c in (2, 3, 4))
+        for a, k, p in zip(starts, sizes, logs):
+            edges[a].append((k, p))
+        return edges
+
+    return joined.mapInArrow(_walk(joined_edges), _SCHEMA)
 
 
 def accuracy(predicted: Column, actual: Column) -> Column:
@@ -154,13 +146,11 @@ def edit_distance(predicted: Column, actual: Column) -> Column:
 
 
 def metrics(cases: DataFrame, vocab: DataFrame, total: Column | int) -> DataFrame:
-    """One row a case: both segmentations with their accuracy and edit distance."""
+    """One row a case: accuracy and edit distance of both segmentations."""
     truth = cases.select("case_id", F.coalesce(T.words("ground_truth"), F.array().cast("array<string>")).alias("actual"))
-    g = greedy(cases, vocab).withColumnRenamed("words", "greedy")
-    p = most_probable(cases, vocab, total).withColumnRenamed("words", "dp")
-    joined = truth.join(g, "case_id").join(p, "case_id")
+    joined = truth.join(segmentations(cases, vocab, total), "case_id")
     a = F.col("actual")
-    return joined.select("case_id", accuracy(F.col("greedy"), a).alias("greedy_accuracy"), edit_distance(F.col("greedy"), a).alias("greedy_distance"), accuracy(F.col("dp"), a).alias("dp_accuracy"), edit_distance(F.col("dp"), a).alias("dp_distance"))
+    return joined.select("case_id", *(x.alias(f"{m}_{n}") for m in ("greedy", "dp") for n, x in (("accuracy", accuracy(F.col(m), a)), ("distance", edit_distance(F.col(m), a)))))
 
 
 def report(scores: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ WHEN regexp_full_match(token, '[a-zA-Z]+') THEN 'latin_word'
 WHEN regexp_full_match(token, '[^{W}{WS}\x{{0C00}}-\x{{0C7F}}]') THEN 'punct' ELSE 'other' END"""
 
 STATS_A = f"""
-WITH t AS ({TOKENIZED}), d AS (SELECT count(*) AS n FROM documents), u AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(tokens) AS x FROM t)),
+WITH t AS ({TOKENIZED}), d AS (SELECT count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS c FROM documents), u AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(tokens) AS x FROM t)),
 s AS (SELECT count(*) AS total_sentences, coalesce(sum(len(tokens)), 0)::BIGINT AS total_words, coalesce(sum(length(tokenized_sentence)), 0)::BIGINT AS total_characters FROM t)
-SELECT d.n AS total_documents, total_sentences, total_words, total_characters,
+SELECT d.n AS total_documents, total_sentences, total_words, total_characters, d.c AS original_characters,
   CASE WHEN total_sentences > 0 THEN total_words / total_sentences ELSE 0 END AS average_sentence_length,
   CASE WHEN total_words > 0 THEN total_characters / total_words ELSE 0 END AS average_word_length,
   u.n AS unique_tokens, CASE WHEN total_words > 0 THEN u.n / total_words ELSE 0 END AS type_token_ratio
@@ -135,6 +135,43 @@ SELECT *, CASE WHEN greedy_accuracy > dp_accuracy THEN 'greedy' WHEN greedy_accu
 FROM m"""
 
 
+#: the faulty automaton is built anew here, and each rule is checked on its own
+FAULTS = """
+WITH s AS (SELECT unnest(['q0', 'q1', 'q_dead']) AS state, unnest([true, true, false]) AS is_start),
+t AS (SELECT src, chr(96 + i::INT) AS symbol, CASE WHEN src = 'q_dead' THEN 'q_dead' ELSE 'q1' END AS dst FROM (SELECT unnest(['q0', 'q1', 'q_dead']) AS src), range(1, 27) r(i) WHERE NOT (src = 'q1' AND i IN (24, 25))
+  UNION ALL VALUES ('q0', 'a', 'q0'), ('q1', 'x', 'q9'))
+SELECT 'not exactly one start state' AS problem FROM s HAVING count(*) FILTER (is_start) <> 1
+UNION ALL SELECT 'two moves: ' || src || ' ' || symbol FROM t GROUP BY src, symbol HAVING count(*) > 1
+UNION ALL SELECT 'moves missing: ' || state FROM s WHERE EXISTS (SELECT symbol FROM t EXCEPT SELECT symbol FROM t WHERE src = state)
+UNION ALL SELECT DISTINCT 'unknown state: ' || q FROM (SELECT src AS q FROM t UNION SELECT dst FROM t) WHERE q NOT IN (SELECT state FROM s)
+"""
+
+
+def dot(name: str, states: str, edges: str) -> str:
+    """Lines of a digraph; ``states`` has state, is_start, is_accept, ``edges`` src, label, dst."""
+    return f"""
+WITH states AS ({states}), edges AS ({edges})
+SELECT 'digraph {name} {{' AS line UNION ALL SELECT '  rankdir=LR' UNION ALL SELECT '}}'
+UNION ALL SELECT '  "' || state || '" [shape=' || CASE WHEN is_accept THEN 'doublecircle' ELSE 'circle' END || ']' FROM states
+UNION ALL SELECT '  "" [shape=none]' FROM states WHERE is_start
+UNION ALL SELECT '  "" -> "' || state || '"' FROM states WHERE is_start
+UNION ALL SELECT '  "' || src || '" -> "' || dst || '" [label="' || label || '"]' FROM edges
+"""
+
+
+DFA_DOT = dot(
+    "words",
+    "SELECT * FROM (VALUES ('q0', true, false), ('q1', false, true), ('q_dead', false, false)) v(state, is_start, is_accept)",
+    "SELECT src, chr(96 + i::INT) AS label, CASE WHEN src = 'q_dead' THEN 'q_dead' ELSE 'q1' END AS dst FROM (SELECT unnest(['q0', 'q1', 'q_dead']) AS src), range(1, 27) r(i)",
+)
+NOUN_DOT = dot(
+    "nouns",
+    "SELECT state, state = 'q0' AS is_start, state = 'qF' AS is_accept FROM (SELECT unnest(['q0', 'qN', 'qES', 'qY', 'qF', 'qD']) AS state)",
+    """SELECT * FROM (VALUES ('q0', 'letter : same', 'qN'), ('qN', 'normal letter : same', 'qN'), ('qN', 's/x/z : same', 'qES'), ('qN', 'ch/sh : same', 'qES'), ('qN', 'y : y', 'qY'),
+  ('qN', 'END : +N+SG', 'qF'), ('qN', 's : +N+PL', 'qF'), ('qES', 'es : +N+PL', 'qF'), ('qY', 'ies : +N+PL', 'qF'), ('qES', 's : Invalid', 'qD'), ('qY', 's : Invalid', 'qD')) v(src, label, dst)""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     nouns = f"WITH nouns AS ({NOUNS}) "
     return {
@@ -155,6 +192,9 @@ def oracle_sql() -> dict[str, str]:
         "dfa_run": "SELECT line_no, coalesce(regexp_full_match(noun, '[a-z]+'), false) AS accepted FROM noun_list",
         "dfa_transitions": "SELECT src, chr(96 + i::INT) AS symbol, CASE WHEN src = 'q_dead' THEN 'q_dead' ELSE 'q1' END AS dst FROM (SELECT unnest(['q0', 'q1', 'q_dead']) AS src), range(1, 27) t(i)",
         "dfa_check": "SELECT ''::VARCHAR AS problem WHERE false",
+        "dfa_faults": FAULTS,
+        "dfa_dot": DFA_DOT,
+        "noun_fst_dot": NOUN_DOT,
         "noun_lexicon": NOUNS,
         "plural_class": f"{nouns} SELECT noun, {CLASS.format('noun')} AS plural_class FROM nouns",
         "morph_analyze": nouns + analysis(FORMS, "word"),

@@ -20,7 +20,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Regular expressions want cores: few input splits are spread, large inputs stay as they are."""
+    """Regular expressions want cores: few splits of a scan are spread, large inputs stay as they are.
+
+    For bare scans only: to count the splits of a join would run it.
+    """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
@@ -115,6 +118,14 @@ def dfa_check(spark: SparkSession, d: str) -> DataFrame:
     return automata.check(automata.states(spark), automata.transitions(spark))
 
 
+def dfa_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The check on a word acceptor with faults: a move doubled, moves missing, a move to no state, two starts."""
+    moves = automata.transitions(spark).where("src <> 'q1' OR symbol NOT IN ('x', 'y')")
+    extra = spark.createDataFrame([("q0", "a", "q0"), ("q1", "x", "q9")], "src string, symbol string, dst string")
+    states = automata.states(spark).withColumn("is_start", F.col("is_start") | (F.col("state") == "q1"))
+    return automata.check(states, moves.unionByName(extra))
+
+
 def dfa_dot(spark: SparkSession, d: str) -> DataFrame:
     edges = automata.transitions(spark).withColumnRenamed("symbol", "label")
     return dot.dot(edges, automata.states(spark), "words").select("line")
@@ -157,12 +168,21 @@ def _segmentation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, ob
 
 
 def segment_greedy(spark: SparkSession, d: str) -> DataFrame:
-    cases, vocab, _ = _segmentation(spark, d)
-    return segment.greedy(cases, vocab).select("case_id", F.array_join("words", "|").alias("words"))
+    cases, vocab, total = _segmentation(spark, d)
+    return segment.segmentations(cases, vocab, total).select("case_id", F.array_join("greedy", "|").alias("words"))
 
 
 def segment_dp(spark: SparkSession, d: str) -> DataFrame:
-    return segment.most_probable(*_segmentation(spark, d)).select("case_id", F.array_join("words", "|").alias("words"))
+    return segment.segmentations(*_segmentation(spark, d)).select("case_id", F.array_join("dp", "|").alias("words"))
+
+
+def segment_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Word boundaries put back into the Latin-letter sentences of all documents, with the corpus' own words."""
+    sentences = corpus.sentence_rows(_docs(spark, d)).where(F.col("sentence").rlike(r"\A[\x00-\x7F]*[A-Za-z][\x00-\x7F]*\z"))
+    words = sentences.select(F.explode(T.words(F.lower("sentence"))).alias("word")).where(F.length("word") <= 20)
+    vocab = segment.vocabulary(words.groupBy("word").agg(F.count("*").alias("cnt")))
+    cases = sentences.select(F.xxhash64("doc_ord", "sent_idx").alias("case_id"), F.regexp_replace(F.lower("sentence"), r"\s+", "").alias("input"), F.lower("sentence").alias("ground_truth"))
+    return segment.metrics(cases, vocab, vocab.agg(F.sum("cnt")).scalar())
 
 
 def segment_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +196,6 @@ def segment_report(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         sentence_split, sentence_split_literal, word_tokens, tokenized_sentences, tokenized_sentences_sql, corpus_stats_inline, corpus_stats_table, doc_limit, doc_limit_literal, table_profile, head_split,
-        url_tokens, token_kind_counts, dfa_accept, dfa_accept_ci, dfa_run, dfa_transitions, dfa_check, dfa_dot, noun_fst_dot, noun_lexicon, plural_class, morph_analyze, morph_corpus, segment_greedy, segment_dp, segment_metrics, segment_report,
+        url_tokens, token_kind_counts, dfa_accept, dfa_accept_ci, dfa_run, dfa_transitions, dfa_check, dfa_faults, dfa_dot, noun_fst_dot, noun_lexicon, plural_class, morph_analyze, morph_corpus, segment_greedy, segment_dp, segment_metrics, segment_report, segment_documents,
     )
     return {f.__name__: f for f in every}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,28 @@ SEGMENTATION_SCHEMA = T.StructType(
         T.StructField("metadata", T.StructType([T.StructField("total_corpus_words", T.LongType())])),
     ]
 )
-STATISTICS_A = ("total_documents", "total_sentences", "total_words", "total_characters", "average_sentence_length", "average_word_length", "unique_tokens", "type_token_ratio")
+STATISTICS_A = ("total_documents", "total_sentences", "total_words", "total_characters", "original_characters", "average_sentence_length", "average_word_length", "unique_tokens", "type_token_ratio")
 STATISTICS_B = ("total_sentences", "total_words", "total_characters", "average_sentence_length", "average_word_length", "unique_token_types", "type_token_ratio")
 #: decimals of the report of a persisted table
 _DIGITS = {"average_sentence_length": 4, "average_word_length": 4, "type_token_ratio": 6}
 
 
+#: where a row of a stored table lies: its file, then its place in it
+PLACE = ("_file", "_row")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or pattern) of any file system Spark knows holds anything."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def stored_order(df: DataFrame) -> DataFrame:
+    """``df``, a Parquet table as read, with the columns ``PLACE`` that give the order it was written in."""
+    return df.select("*", F.col("_metadata.file_name").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
     """A corpus of any built-in format; JSON and CSV want a schema, so no pass is spent on inferring one."""
     reader = spark.read.format(fmt)
@@ -40,20 +57,20 @@ def read_segmentation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): one line a row; a missing file gives an empty table and a message."""
-    try:
-        lines = spark.read.text(path)
-        lines.schema
-        return lines
-    except Exception as e:  # AnalysisException of the missing path
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        print(f"{path}: no such file")
-        return spark.createDataFrame([], "value string")
+    if exists(spark, path):
+        return spark.read.text(path)
+    print(f"{path}: no such file", file=sys.stderr)
+    return spark.createDataFrame([], "value string")
+
 
+def write_tokenized(rows: DataFrame, path: str, ordered: bool = False) -> None:
+    """Parquet (Snappy) of the one column ``tokenized_sentence``, in (document, sentence) order.
 
-def write_tokenized(rows: DataFrame, path: str) -> None:
-    """Parquet (Snappy) of the one column ``tokenized_sentence``, in (document, sentence) order."""
-    rows.orderBy("doc_ord", "sent_idx").select("tokenized_sentence").write.mode("overwrite").parquet(path, compression="snappy")
+    ``ordered``: the rows come from documents already in order, so they aren't
+    sorted (a sort would tokenize everything once more to sample its ranges).
+    """
+    out = rows if ordered else rows.orderBy("doc_ord", "sent_idx")
+    out.select("tokenized_sentence").write.mode("overwrite").parquet(path, compression="snappy")
 
 
 def write_text(rows: DataFrame, path: str, column: str = "tokenized_sentence", single_file: bool = False, order: tuple[str, ...] = ("doc_ord", "sent_idx")) -> None:
@@ -77,4 +94,5 @@ def write_statistics(stats: DataFrame, path: str, rounded: bool = False) -> dict
 
 
 def parquet_to_text(spark: SparkSession, source: str, target: str, column: str = "tokenized_sentence") -> None:
-    write_text(spark.read.parquet(source).select(column), target, column, order=())
+    """The column's lines in the order in which the table was written."""
+    write_text(stored_order(spark.read.parquet(source)).select(column, *PLACE), target, column, order=PLACE)

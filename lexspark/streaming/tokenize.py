@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import corpus
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, text_field: str, order_field: str, fmt: str = "parquet") -> DataFrame:
-    return corpus.documents(spark.readStream.format(fmt).schema(schema).load(path), text_field, order_field)
+    """Documents of new files; the number of each batch is observed for ``operators.progress``."""
+    docs = corpus.documents(spark.readStream.format(fmt).schema(schema).load(path), text_field, order_field)
+    return docs.observe("documents", F.count(F.lit(1)).alias("documents"))
 
 
 def write_tokenized(docs: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

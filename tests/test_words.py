@@ -3,11 +3,13 @@
 import itertools
 import math
 import random
+import time
+from io import StringIO
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import automata, dot, morphology, segment
+from lexspark.operators import automata, dot, morphology, progress, segment
 from lexspark.operators import corpus
 from lexspark.sources import io
 from lexspark.streaming import tokenize
@@ -28,6 +30,10 @@ def test_tables_are_an_automaton(spark):
     assert automata.transitions(spark).count() == 78
     assert automata.check(automata.states(spark), automata.transitions(spark)).isEmpty()
     assert not automata.check(automata.states(spark), automata.transitions(spark).where("symbol <> 'a' or src <> 'q1'")).isEmpty()
+    states = automata.states(spark).withColumn("is_start", F.lit(True))
+    extra = spark.createDataFrame([("q0", "a", "q0"), ("q1", "a", "q9")], "src string, symbol string, dst string")
+    faulty = automata.check(states, automata.transitions(spark).where("src <> 'q1'").unionByName(extra))
+    assert {r.problem for r in faulty.collect()} == {"not exactly one start state", "two moves: q0 a", "moves missing: q1", "unknown state: q9"}
     lines = [r.line for r in dot.dot(dot.noun_edges(spark), dot.noun_states(spark), "n").orderBy("ord").collect()]
     assert lines[0] == "digraph n {" and lines[-1] == "}" and sum("->" in x for x in lines) == 12
 
@@ -77,18 +83,18 @@ def solve(text, vocab, total):
     return greedy, dp
 
 
-@pytest.mark.parametrize("long", [400, 3])
-def test_segmentation(spark, monkeypatch, long):
-    monkeypatch.setattr(segment, "LONG", long)  # both ways of folding
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_segmentation(spark, monkeypatch, most):
+    monkeypatch.setattr(segment, "HELD_WORDS", most)  # both ways of finding candidates
     rnd = random.Random(3)
     vocab = {"a": 2, "aa": 1, "b": 1, "ab": 4, "bab": 3, "𝄞a": 1}
     texts = ["", None, "abx", "xab", "aab", "aa", "𝄞ab"] + ["".join(rnd.choice("aabx") for _ in range(rnd.randint(1, 12))) for _ in range(40)]
     cases = spark.createDataFrame(list(enumerate(texts)), "case_id bigint, input string")
     v = segment.vocabulary(spark.createDataFrame([*vocab.items(), ("zero", 0), ("", 5)], "word string, cnt bigint"))
-    g = {r.case_id: r.words for r in segment.greedy(cases, v).collect()}
-    p = {r.case_id: r.words for r in segment.most_probable(cases, v, 12).collect()}
+    got = {r.case_id: (r.greedy, r.dp) for r in segment.segmentations(cases, v, 12).collect()}
     for i, t in enumerate(texts):
-        assert (g[i], p[i]) == solve(t or "", vocab, 12), t
+        assert got[i] == solve(t or "", vocab, 12), t
+    assert {r.case_id: r.dp for r in segment.segmentations(cases, v.limit(0), 12).collect()} == {i: list(t or "") for i, t in enumerate(texts)}
 
 
 def test_metrics(spark):
@@ -118,14 +124,34 @@ def test_stream(spark, tmp_path):
     src = spark.createDataFrame([(i, f"A {i}. B.") for i in range(9)], "doc_id bigint, text string")
     src.write.parquet(f"{tmp_path}/in")
     docs = tokenize.read_documents(spark, f"{tmp_path}/in", "doc_id bigint, text string", "text", "doc_id")
-    for _ in range(2):  # a second run finds nothing new
-        tokenize.write_tokenized(docs, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 18
+    said = StringIO()
+    listener = progress.DocumentProgress(every=5, out=said)
+    spark.streams.addListener(listener)
+    try:
+        for _ in range(2):  # a second run finds nothing new
+            tokenize.write_tokenized(docs, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+        until = time.time() + 20
+        while listener.seen < 9 and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 18 and said.getvalue() == "9 documents\n"
+
+
+def test_messages_of_progress(spark):
+    said = StringIO()
+    listener = progress.DocumentProgress(every=10, out=said)
+    for n in (9, 1, 5, 25):
+        listener.add(n)
+    assert said.getvalue().splitlines() == ["10 documents", "40 documents"]
+    with progress.tasks(spark, "run", 0.05, said):
+        spark.range(4).mapInPandas(lambda it: (time.sleep(0.3) or p for p in it), "id bigint").count()
+    assert "run: " in said.getvalue() and "tasks" in said.getvalue()
 
 
 def test_segmentation_joins_back(spark):
     words = ["".join(x) for x in itertools.product("ab", repeat=3)]
     cases = spark.createDataFrame(list(enumerate(words)), "case_id bigint, input string")
     v = segment.vocabulary(spark.createDataFrame([("ab", 2), ("b", 1)], "word string, cnt bigint"))
-    for out in (segment.greedy(cases, v), segment.most_probable(cases, v, 3)):
-        assert {r.case_id: "".join(r.words) for r in out.collect()} == dict(enumerate(words))
+    rows = segment.segmentations(cases, v, 3).collect()
+    assert {r.case_id: "".join(r.greedy) for r in rows} == {r.case_id: "".join(r.dp) for r in rows} == dict(enumerate(words))
