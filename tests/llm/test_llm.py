@@ -264,7 +264,8 @@ def test_junk_with_one_accent_has_no_language(spark):
 
 # ---- 6 terms
 def test_terms_like_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(termfreq, "RUN_TERMS", 5)  # many runs
+    monkeypatch.setattr(termfreq, "RUN_PAIRS", 5)  # many runs
+    monkeypatch.setattr(termfreq, "_ROWS", 3)
     rnd = random.Random(4)
     values = [None, "", " ", "a a a\x1cb"] + [" ".join(rnd.choice("abcdefghijk") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 9))) for _ in range(200)] + ["hot"] * 100
     df = frame(spark, [(i, v, 1) for i, v in enumerate(values)], "sent_id int, t string, records int").repartition(4)
@@ -279,6 +280,29 @@ def test_terms_like_brute_force(spark, monkeypatch):
     assert termfreq.marked_terms(df.limit(0), "t").count() == 0
 
 
+def test_terms_come_from_a_sort(spark):
+    """Range exchange, sort and scanner stand in the plan that ran; nothing is hashed."""
+    df = spark.range(500).selectExpr("concat_ws(' ', id % 7, 'hot', id) as t")
+    found = termfreq.term_frequencies(termfreq.term_runs(df, "t"))
+    assert found.count() == 501 and found.where("term = 'hot'").first().records == 500
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Sort [term") < plan.index("rangepartitioning(term") and "Aggregate" not in plan
+
+
+def test_scanner_carries_terms_over_batches():
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    rows = sorted((rnd.choice("abcde"), rnd.randint(1, 3), rnd.randint(1, 9)) for _ in range(60))
+    for size in (1, 2, 7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names=termfreq._NAMES) for i in range(0, 60, size)]
+        empty = batches[0].slice(0, 0)
+        got = [tuple(r.values()) for b in termfreq.scan_sorted(iter([empty, *batches, empty])) for r in b.to_pylist()]
+        assert got == [(t, sum(r for x, r, _ in rows if x == t), sum(n for x, _, n in rows if x == t)) for t in "abcde"]
+    assert list(termfreq.scan_sorted(iter([]))) == []
+
+
 # ---- 8 encoding
 def test_encoding_round_trip(spark):
     ranks = encode.load_ranks(f"{encode.TOKENIZER_DIR}/{encode.VOCABULARY}")
