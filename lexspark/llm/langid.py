@@ -13,11 +13,15 @@ that holds most letters.
 
 The n-gram model is fitted here, on at most ``SAMPLE_PER_CLASS`` labelled
 texts per language of a reference table (a bound, whatever its size) chosen by
-hash; everything else covers all rows. Telugu in Latin letters is a class of
-its own that reports ``te``.
+hash in one scan; everything else covers all rows. Telugu in Latin letters is a
+class of its own that reports ``te``. A further class of the Latin script
+takes every n-gram for equally likely: words that are stranger to all languages
+of the model than that, and letters of scripts that no language here uses, are
+``und``, which is reported but names no language.
 
 Null and blank texts, and texts without a letter, have no language and no
-segment. Junk (see ``quality``) has none either. Equal rows give equal rows.
+segment. Junk has none either: it is told by the statistics and the sketches
+of ``quality``, taken in the same pass. Equal rows give equal rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import profiler
+from . import quality
+from .common import cut
 
 #: labelled texts a language gives to the model, at most
 SAMPLE_PER_CLASS = 250
@@ -40,6 +45,8 @@ SAMPLE_PER_CLASS = 250
 SWITCH, SWITCH_BETWEEN = 14.0, 5.0
 #: cost of a word whose script the language doesn't use, and the most a word can cost a language
 FOREIGN, MOST = 5.0, 4.0
+#: no language of the model; how much less likely than usual its n-grams count (nats): close relatives of a language of the model still pass for it
+UNKNOWN, STRANGE = "und", 2.5
 #: longest n-gram, words a task remembers
 NGRAM = 4
 KEPT_WORDS = 300_000
@@ -47,6 +54,8 @@ KEPT_WORDS = 300_000
 ROWS, CELL_WORDS = 3, 4
 #: model classes of the scripts that several languages share
 CLASSES = {"Latin": ("en", "de", "fr", "es", "te-Latn"), "Devanagari": ("hi", "mr")}
+#: scripts of many languages beside those of the model
+OPEN = ("Latin",)
 #: languages with a script of their own
 OWN = {"Telugu": "te", "Kannada": "kn", "Tamil": "ta", "Thai": "th", "Han": "zh", "Malayalam": "ml", "Bengali": "bn", "Gujarati": "gu", "Gurmukhi": "pa", "Oriya": "or", "Arabic": "ar", "Hebrew": "he", "Hangul": "ko", "Kana": "ja", "Greek": "el", "Cyrillic": "ru"}
 _BLOCKS = [(0x41, 0x24F, "Latin"), (0x370, 0x3FF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x590, 0x5FF, "Hebrew"), (0x600, 0x77F, "Arabic"), (0x900, 0x97F, "Devanagari"), (0x980, 0x9FF, "Bengali"), (0xA00, 0xA7F, "Gurmukhi"), (0xA80, 0xAFF, "Gujarati"), (0xB00, 0xB7F, "Oriya"), (0xB80, 0xBFF, "Tamil"), (0xC00, 0xC7F, "Telugu"), (0xC80, 0xCFF, "Kannada"), (0xD00, 0xD7F, "Malayalam"), (0xE00, 0xE7F, "Thai"), (0x1E00, 0x1EFF, "Latin"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul")]
@@ -70,6 +79,11 @@ def label_language(label: str | None) -> str | None:
     return _LABELS.get(m.group(1)) if m else None
 
 
+def _code(state: str) -> str:
+    """The code that a class reports."""
+    return state if state == UNKNOWN else state[:2]
+
+
 def _script(c: str) -> str:
     o = ord(c)
     for low, high, name in _BLOCKS:
@@ -89,6 +103,8 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], common: dict[str, list[str]]):
         self.grams: dict[str, dict[str, dict[str, float]]] = {}
         self.common: dict[str, dict[str, frozenset[str]]] = {}
+        self.chance: dict[str, float] = {}
+        self.unseen: dict[str, dict[str, float]] = {}
         for script, classes in CLASSES.items():
             low, high = next((a, b) for a, b, s in _BLOCKS if s == script)
             word = re.compile(f"[{chr(low)}-{chr(high)}]+")
@@ -106,6 +122,10 @@ class Model:
             known = set().union(*counts.values()) if counts else set()
             self.grams[script] = {}
             total = {c: sum(n.values()) + len(known) + 1 for c, n in counts.items()}
+            # the n-gram of a word as the best fitted language has it, on average
+            usual = [sum(k * math.log((k + 0.5) / total[c]) for k in n.values()) / sum(n.values()) for c, n in counts.items() if n]
+            self.chance[script] = max(usual, default=0.0) - STRANGE
+            self.unseen[script] = {c: math.log(0.5 / n) for c, n in total.items()}
             for g in known:
                 if sum(n[g] for n in counts.values()) > 2:
                     self.grams[script][g] = {c: math.log((n[g] + 0.5) / total[c]) for c, n in counts.items()}
@@ -117,40 +137,46 @@ class Model:
         table = self.grams[script]
         lower = word.lower()
         score = dict.fromkeys(classes, 0.0)
-        for g in _grams(lower):
+        grams = _grams(lower)
+        unseen = 0
+        for g in grams:
             if (s := table.get(g)) is not None:
                 for c in classes:
                     score[c] += s[c]
+            else:
+                unseen += 1
+        strange = len(grams) * self.chance[script] - (max(self.unseen[script].values()) * unseen if unseen else 0.0)
         # n-grams overlap: a quarter of their sum is about the word's own score
         score = {c: s / NGRAM for c, s in score.items()}
         for c, words in self.common[script].items():
             if lower in words:
                 score[c] += 3.0
         best = max(score.values())
-        return {c: min(MOST, best - s) for c, s in score.items()}
+        out = {c: min(MOST, best - s) for c, s in score.items()}
+        if script not in OPEN:
+            return out
+        strange /= NGRAM
+        if strange > best:
+            out = {c: min(MOST, x + strange - best) for c, x in out.items()}
+        out[UNKNOWN] = min(MOST, max(0.0, best - strange))
+        return out
 
 
 def fit(reference: DataFrame, text_col: str, lang_col: str, common_words: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on at most ``per_class`` labelled texts of each class, chosen by hash."""
-    text = F.col(text_col)
-    latin = F.length(F.regexp_replace(text, "[^A-Za-z]", "")) * 2 > F.length(text)
-    cls = F.when((F.col(lang_col) == "te") & latin, F.lit("te-Latn")).otherwise(F.col(lang_col))
-    wanted = [c for cs in CLASSES.values() for c in cs]
-    rows = reference.where(text.isNotNull() & (F.length(text) > 40)).select(cls.alias("c"), text.alias("t"), F.xxhash64(text).alias("h")).where(F.col("c").isin(wanted))
-    # a hash threshold per class leaves about ``per_class`` texts, whatever the table's size
-    low = {r.c: r.n for r in rows.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    keep = F.lit(False)
-    for c, n in low.items():
-        limit = -(1 << 63) + int(min(1.0, per_class / n) * ((1 << 64) - 1))
-        keep = keep | ((F.col("c") == c) & (F.col("h") <= min(limit, (1 << 63) - 1)))
+    """Fit on at most ``per_class`` labelled texts of each class.
+
+    One scan: the texts of a class fall into ``per_class`` buckets by hash, and
+    each bucket gives the text of the lowest hash, by combining aggregation.
+    """
+    text, lang = F.col(text_col), F.col(lang_col)
+    romanized = text.rlike(r"\A[\x00-\x40]*[A-Za-z]{3}")
+    cls = F.when(lang == "te", F.when(romanized, F.lit("te-Latn"))).when(lang.isin([c for cs in CLASSES.values() for c in cs]), lang)
+    rows = reference.where(F.length(text) > 40).select(cls.alias("c"), text.alias("t"), F.xxhash64(text).alias("h")).where(F.col("c").isNotNull())
+    chosen = rows.groupBy("c", F.pmod("h", F.lit(per_class)).alias("b")).agg(F.min_by("t", F.struct("h", "t")).alias("t"))
     samples: dict[str, list[str]] = {}
-    if low:
-        for r in rows.where(keep).limit(2 * per_class * len(low)).collect():
-            samples.setdefault(r.c, []).append(r.t)
-    common: dict[str, list[str]] = {}
-    for r in common_words.where("lang is not null and word is not null").select("lang", "word").collect():  # a few hundred rows
-        common.setdefault(r.lang, []).append(r.word)
-    return Model({c: sorted(t) for c, t in samples.items()}, common)
+    for r in chosen.collect():  # at most per_class rows a class
+        samples.setdefault(r.c, []).append(r.t)
+    return Model({c: sorted(t) for c, t in samples.items()}, quality.common_by_language(common_words))
 
 
 _UNIT = re.compile(r"\S+|\n\s*")
@@ -188,7 +214,7 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
             if script in CLASSES:
                 words = [w for w in _WORD.findall(plain) if _script(w[0]) == script]
                 url = "://" in plain or "@" in plain or plain.lower().startswith("www.")
-                costs: dict[str, float] = dict.fromkeys(CLASSES[script], 0.0)
+                costs: dict[str, float] = dict.fromkeys((*CLASSES[script], *((UNKNOWN,) if script in OPEN else ())), 0.0)
                 if not url:
                     for w in words:
                         for c, x in model.word(script, w).items():
@@ -196,10 +222,8 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
                     out = (script, n, costs)
                 else:
                     out = ("", 0, {})
-            elif script in OWN:
-                out = (script, n, {OWN[script]: 0.0})
             else:
-                out = ("", 0, {})
+                out = (script, n, {OWN.get(script, UNKNOWN): 0.0})
         if len(memo) >= KEPT_WORDS:
             memo.clear()
         if len(unit) < 100:
@@ -286,7 +310,7 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
             return []
         states = sorted({c for u in units for c in u[4]})
         if len(states) == 1:
-            return [(units[0][0], units[-1][1], states[0][:2], 1.0, True)]
+            return [(units[0][0], units[-1][1], _code(states[0]), 1.0, True)]
         cost = dict.fromkeys(states, 0.0)
         back: list[dict[str, str]] = []
         for _, _, n, _, costs, new in units:
@@ -335,56 +359,63 @@ def tagger(model: Model) -> Callable[[str], list[tuple[int, int, str, float, boo
             enough = words > 2 or j - i == n or (words == 2 and not abbreviated(text, units[j - 1]) and not (i > 0 and abbreviated(text, units[i - 1])))
             whole = (whole and enough) or any(entry[i:j])
             label = labels[i]
-            other = min((totals[s] for s in states if s[:2] != label[:2]), default=60.0)
+            other = min((totals[s] for s in states if _code(s) != _code(label)), default=60.0)
             confidence = 1.0 / (1.0 + math.exp(-min(60.0, max(-60.0, other - totals[label]))))
-            out.append((units[i][0], units[j - 1][1], label[:2], confidence, whole))
+            out.append((units[i][0], units[j - 1][1], _code(label), confidence, whole))
             i = j
         return out
 
     return segments
 
 
-_SEGMENT = "rec_id bigint, label string, start_pos bigint, end_pos bigint, lang string, confidence double, whole boolean, letters bigint"
+_SEGMENTS = [("start_pos", pa.int64()), ("end_pos", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("whole", pa.bool_()), ("letters", pa.int64())]
+_TAGGED = f"rec_id bigint, label string, {quality.record_schema()}, segments array<struct<start_pos:bigint,end_pos:bigint,lang:string,confidence:double,whole:boolean,letters:bigint>>"
 
 
-def segment_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, model: Model, common_words: DataFrame) -> DataFrame:
-    """(rec_id, label, start_pos, end_pos, lang, confidence, whole, letters): the language segments of every text."""
-    common: dict[str, list[str]] = {}
-    for r in common_words.where("lang is not null and word is not null").select("lang", "word").collect():  # a few hundred rows
-        common.setdefault(r.lang, []).append(r.word)
+def tagged(df: DataFrame, id_col: str, text_col: str, lang_col: str, model: Model, common_words: DataFrame) -> DataFrame:
+    """(rec_id, label, statistics, segments): every text that isn't blank, measured and tagged in one pass."""
+    common = quality.common_by_language(common_words)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    names = ["rec_id", "label", *quality.RECORD, "segments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = tagger(shared.value)
-        profile = profiler(common)
-
-        def junk(text: str) -> bool:
-            p = profile(text)
-            return p is not None and p[-1] == "junk"
-
+        profile = quality.profiler(common)
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 2000):
-                batch = whole_batch.slice(at, 2000)
-                rows: list[int] = []
-                cells: list[list] = [[] for _ in range(7)]
-                labels = batch.column(2).to_pylist()
+            for at in range(0, whole_batch.num_rows, 1000):
+                batch = whole_batch.slice(at, 1000)
+                kept, measures, found = [], [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
-                    if not t or not (found := tag(t)) or junk(t):
-                        continue
-                    for a, b, lang, conf, whole in found:
-                        rows.append(i)
-                        for c, v in zip(cells, (label_language(labels[i]), a, b, lang, conf, whole, b - a)):
-                            c.append(v)
-                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int64())
-                ids = batch.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cells, types))], names=["rec_id", "label", "start_pos", "end_pos", "lang", "confidence", "whole", "letters"])
+                    if (p := profile(t)) is not None:
+                        kept.append(i)
+                        measures.append(p)
+                        found.append(tag(t))
+                take = pa.array(kept, pa.int64())
+                labels = pa.array([label_language(x) for x in batch.column(2).take(take).to_pylist()], pa.string())
+                cells = list(zip(*measures)) if measures else [()] * len(quality.MEASURE_TYPES)
+                flat = [(a, b, lang, conf, whole, b - a) for segments in found for a, b, lang, conf, whole in segments]
+                columns = list(zip(*flat)) if flat else [()] * len(_SEGMENTS)
+                structs = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _SEGMENTS)], names=[n for n, _ in _SEGMENTS])
+                ends = [0]
+                for segments in found:
+                    ends.append(ends[-1] + len(segments))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), labels, *(pa.array(c, t) for c, t in zip(cells, quality.MEASURE_TYPES)), lists], names=names)
 
     both = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return both.where(F.col("text").isNotNull()).mapInArrow(run, _SEGMENT)
+    return both.where(F.col("text").isNotNull()).mapInArrow(run, _TAGGED)
+
+
+def segment_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, model: Model, common_words: DataFrame) -> DataFrame:
+    """(rec_id, label, start_pos, end_pos, lang, confidence, whole, letters): the language segments of every text that isn't junk."""
+    rows = cut(tagged(df, id_col, text_col, lang_col, model, common_words))
+    kind = quality.kind_of(quality.z_scores(quality.scales(rows)))
+    return rows.where(kind != "junk").select("rec_id", "label", F.inline("segments"))
 
 
 def unnamed_languages(segments: DataFrame) -> DataFrame:
     """(rec_id, lang): languages that fill a whole sentence of a text and that its label doesn't name."""
+    segments = segments.where(F.col("lang") != UNKNOWN)
     other = F.col("label").isNull() | (F.col("label") != F.col("lang"))
     return segments.where(F.col("whole") & other).select("rec_id", "lang").distinct()
 

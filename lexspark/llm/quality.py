@@ -1,20 +1,24 @@
 """Per-document text quality statistics (problem 3).
 
 One pass measures every record: words, mean word length, symbol ratio, share
-of lines that end in punctuation, share of common words and five more. Each
-statistic gets a mergeable quantile sketch (KLL) per language, built by
-combining aggregation over the records shaped like prose, so that any share of
-lists, tables and junk leaves it as it is; its quartiles turn a value into a
-robust z-score. A record in the tail of any statistic of its language's prose
-is flagged, and flagged records are judged by their shape: ``list``, ``table``,
-``junk``; everything else is ``prose``.
+of lines that end in punctuation, share of common words and four more, and
+five that speak for a kind: shares of the record that stand in item lines, in
+rows of cells, in codes or markup, separators per word, and how far the record
+repeats itself. Each statistic gets a mergeable quantile sketch (KLL) per
+language, built by combining aggregation. The sketches' quantiles turn every
+value into a robust z-score, and the tails are flagged: a record whose item,
+separator, cell, code or repetition score lies in the tail of its language is
+a ``list``, ``table`` or ``junk``; everything else is ``prose``. Values in the tail of any other statistic are reported
+(``flagged``).
+
+The sketches hold the records that are prose at first sight, those with each
+kind's share under ``FIRST``, so that any share of lists, tables and junk in a
+language leaves them as they are; the z-scores then decide over all records.
+Quantiles of a language are drawn towards those of all languages together
+(where there are none, to 0) by n / (n + ``SHRINK``), n its records in the
+sketch, so no size of a group changes the rule.
 
 Languages are told by script and common words (the label may be wrong).
-Groups of fewer than ``LEAST`` records of prose, and those of no known language,
-get their z-scores from the merged sketch of all languages, which doesn't tell
-how their own prose looks: there the shape alone decides. It also does where the
-prose of a language is so mixed that no value of a statistic in ``DECISIVE``
-lies in its tail.
 Words are runs without white space; in Chinese every character is a word, in
 Thai every common word (the longest at its place) and every piece with a letter
 or digit between two of them or at an end of the run. Null and blank records have no
@@ -25,27 +29,28 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: robust z-score beyond which a value lies in the tail
-TAIL = 3.0
-#: records of prose a language needs for quartiles of its own
-LEAST = 50
+#: robust z-scores beyond which a value lies in the tail: of an ordinary statistic, of one that speaks for a kind
+TAIL, KIND_TAIL = 3.0, 6.0
+#: share of a record from which it is no prose at first sight
+FIRST = 0.4
+#: records by which the quantiles of a language are drawn towards those of all
+SHRINK = 50
 #: words a task remembers
 KEPT_WORDS = 300_000
 #: accuracy of the quantile sketches (KLL's k)
 SKETCH_K = 200
 
-#: groups that are no language; their records are held against all languages together
+#: groups that are no language; their records don't enter the quantiles of all languages
 UNKNOWN = ("latin", "deva", "other", "none")
 
-#: statistic -> least scale of its z-score (a spread below it counts as this)
+#: ordinary statistic -> least scale of its z-score (a spread below it counts as this)
 STATS = {
     "mean_word_length": 0.5,
     "symbol_ratio": 0.01,
@@ -55,12 +60,18 @@ STATS = {
     "stops_per_word": 0.02,
     "digit_ratio": 0.01,
     "distinct_words": 0.1,
-    "item_lines": 0.15,
 }
 #: statistics whose upper tail is ordinary (long lines, sound punctuation)
 LOW_ONLY = ("punctuated_lines", "words_per_line", "common_words", "distinct_words")
-#: statistics by which lists and tables differ from prose; both lie between 0 and 1
-DECISIVE = ("punctuated_lines", "item_lines")
+#: statistic -> the kind it speaks for, and the least scale of its z-score
+EVIDENCE = {
+    "item_lines": ("list", 0.1),
+    "separators": ("list", 0.06),
+    "cell_rows": ("table", 0.08),
+    "repeats": ("junk", 0.1),
+    "coded": ("junk", 0.06),
+}
+MEASURED = (*STATS, *EVIDENCE)
 
 _STOP = r".!?।॥…。！？．"
 _CLOSE = "\"'”’»）)\\]」』›*_"
@@ -76,6 +87,10 @@ _CODE = re.compile(r"[{};]\s*(?=$|\n|[a-zA-Z.#}])|\b(?:var|function|return|docum
 _HEXLIKE = re.compile(r"(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{6,}|\d{7,}|(?=[\w+/=-]*\d)(?=[\w+/=-]*[A-Z])(?=[\w+/=-]*[a-z])[\w+/=-]{12,}|[A-Z0-9]{3,}-\d[\w-]*", re.A)
 _WORDLIKE = re.compile(r"[^\W_]")
 _LATIN = re.compile(r"[A-Za-z]+")
+_SYMBOLS = re.compile(r"(?:[^\w\s]|_)+")
+_SEPARATORS = (" » ", " | ", " • ", " · ", " / ", " > ", " – ", " → ", ", ", "; ", "、", "، ")
+#: languages whose common words aren't written in Latin letters: such words say nothing about them
+_OWN_SCRIPT = frozenset(("te", "ta", "kn", "th", "zh", "hi", "mr", "deva", "none"))
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q[^u]|[jvwxz][bcdfgjkmpqtvwxz]|[bcdfgjkmpqtvwxz][jx]", re.I)
 
 
@@ -85,7 +100,7 @@ _NARROW = {**{o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F) if chr(o) not in "，
 
 
 def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
-    """A function from text to (language, words, *STATS, shape), or None for blank texts."""
+    """A function from text to (language, words, *MEASURED), or None for blank texts."""
     sets = {lang: frozenset(w.lower() for w in words) for lang, words in common.items()}
     latin = [lang for lang, words in sets.items() if any(w.isascii() for w in words)]
     deva = [lang for lang in sets if lang in ("hi", "mr", "ne", "sa")]
@@ -172,140 +187,114 @@ def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
                 symbols += text.count(c)
             elif k == "d":
                 digits += text.count(c)
-        ends = items = 0
-        for x in lines:
-            if x[-1] in _STOP_SET or x.rstrip(_TRAIL)[-1:] in _STOP_SET:
-                ends += 1
-            if len(x) <= 60 and x.count(" ") < 6:
-                items += 1
+        ends = sum(1 for x in lines if x[-1] in _STOP_SET or x.rstrip(_TRAIL)[-1:] in _STOP_SET)
         stops = len(_STOPS.findall(text))
-        distinct = len(set(words)) / n
-        shape = _shape(text, words, lines, lang, share, length, digits, symbols, ends, stops, n_words, distinct)
-        return (lang, n_words, length / n_words, symbols / length, ends / len(lines), share, n_words / len(lines), stops / n_words, digits / length, distinct, items / len(lines), shape)
+        unknown = 0.0 if lang in _OWN_SCRIPT else max(0.0, 1.0 - 10.0 * share)
+        evidence = (_item_lines(lines), _separators(text, n_words), _cell_rows(lines), _repeats(words), _coded(text, words, lines, length, symbols, unknown))
+        return (lang, n_words, length / n_words, symbols / length, ends / len(lines), share, n_words / len(lines), stops / n_words, digits / length, len(set(words)) / n, *evidence)
 
     return profile
 
 
-def _repeats(text: str, words: list[str], distinct: float, n_words: int) -> bool:
-    """One phrase over and over: the text is (nearly) periodic."""
-    if len(text) < 40:
-        return False
-    if distinct < 0.25 or (n_words > len(words) * 3 and len(text) >= 60):
-        squeezed = "".join(text.split())
-        if len(squeezed) < 30:
-            return False
-        raw = squeezed.encode("utf-8", "surrogatepass")
-        if len(zlib.compress(raw, 6)) > 0.35 * len(raw) + 40:
-            return False
-        # the distance at which the text best agrees with itself
-        probe = squeezed[len(squeezed) // 3 : len(squeezed) // 3 + 12]
-        first = squeezed.find(probe)
-        second = squeezed.find(probe, first + 1)
-        if second < 0:
-            return False
-        p = second - first
-        same = sum(a == b for a, b in zip(squeezed, squeezed[p:]))
-        return len(squeezed) >= 3 * p and same >= 0.85 * (len(squeezed) - p)
-    return False
-
-
-def _columns(lines: list[str]) -> bool:
-    """Rows of cells under one separator."""
+def _item_lines(lines: list[str]) -> float:
+    """Share of the text in lines that are items: marked, or short and without a final stop; 0 for less than three lines."""
     if len(lines) < 3:
-        return False
+        return 0.0
+    items = 0
+    for x in lines:
+        if (len(x) <= 60 and x.count(" ") < 6 and x.rstrip(_TRAIL)[-1:] not in _STOP_SET) or _MARK.match(x.lstrip()):
+            items += len(x)
+    return items / sum(map(len, lines))
+
+
+def _separators(text: str, n_words: int) -> float:
+    """Signs of the most frequent separator of items after the first one, per word (signs that stand apart are no words)."""
+    most = 0.0
+    for sep in _SEPARATORS:
+        if (k := text.count(sep)) > 1:
+            most = max(most, (k - 1) / max(1, n_words - (k if sep[0] == " " else 0)))
+    return min(1.0, most)
+
+
+def _cell_rows(lines: list[str]) -> float:
+    """Share of the lines that have the most frequent number of cells under one separator, times the share of short cells.
+
+    Three rows are needed. Commas and semicolons part cells only as far as numbers stand between them.
+    """
+    most = 0.0
+    if len(lines) < 3:
+        return most
     for sep in ("\t", "|", ";", '","', ",", None):
         if sep is None:
-            rows = [_SPACED.split(x.strip()) for x in lines]
-        elif not sum(sep in x for x in lines) >= 0.75 * len(lines):
-            continue
+            rows = [_SPACED.split(x.strip()) for x in lines] if any("  " in x or "\t" in x for x in lines) else []
         else:
-            rows = [x.strip(" \r\n").strip("|").split(sep) for x in lines]
-        cells = Counter(len(r) for r in rows)
-        width, often = max(((w, k) for w, k in cells.items() if w > 1), key=lambda x: x[1], default=(1, 0))
-        if width < 2 or often < 0.7 * len(lines):
+            rows = [x.strip(" \r\n").strip("|").split(sep) for x in lines] if sum(sep in x for x in lines) > 2 else []
+        often = max((k for w, k in Counter(map(len, rows)).items() if w > 1), default=0)
+        if often < 3:
             continue
-        flat = [c.strip(' "') for r in rows for c in r]
-        words = sum(len(c.split()) for c in flat)
-        if words > 4 * len(flat):
-            continue
-        numeric = sum(1 for c in flat if _NUMERIC.fullmatch(c))
-        if sep in (",", ";") and numeric < 0.15 * len(flat):
-            continue
-        return True
-    return False
-
-
-def _items(text: str, words: list[str], lines: list[str], ends: int, stops: int) -> bool:
-    """Marked or short lines, or one line of items between separators."""
-    n = len(lines)
-    if n >= 3:
-        marked = [len(x) for x in lines if _MARK.match(x.lstrip())]
-        if len(marked) >= 0.7 * n and sum(marked) >= 0.6 * sum(map(len, lines)):
-            return True
-        short = [len(x) for x in lines if len(x.split()) <= 6 and len(x) <= 60]
-        if len(short) >= 0.85 * n and sum(short) >= 0.6 * sum(map(len, lines)) and stops <= 0.2 * n:
-            return True
-    flat = text.strip()
-    for sep in (" » ", " | ", " • ", " · ", " / ", " > ", " – ", " → "):
-        k = flat.count(sep)
-        if k >= 4 and k * 4 >= len(words) - k and stops <= 1:
-            return True
-    # a heading and its items between commas
-    for sep in (", ", "; ", "、", "، "):
-        k = flat.count(sep)
-        if k >= 5 and k * 2 >= len(words) - n - 4 and stops <= 1:
-            return True
-    return False
-
-
-def _junk(text: str, words: list[str], lang: str, share: float, length: int, digits: int, symbols: int) -> bool:
-    """Random characters or symbols, codes, markup or script remains."""
-    if symbols > 0.4 * length and sum(map(text.count, "#$%&*<>=^_\\|~/{}[]@+")) > 0.3 * length:
-        return True
-    if digits > 0.04 * length or length > 20 * len(words):
-        coded = [len(w) for w in words if _HEXLIKE.fullmatch(w.strip(".,;:()[]\"'"))]
-        if sum(coded) > 0.5 * length and (len(coded) > 3 or max(coded) > 40):
-            return True
+        cells = [c.strip(' "') for r in rows for c in r]
+        rate = often / len(lines) * sum(1 for c in cells if c.count(" ") < 4) / len(cells)
+        if sep in (",", ";") and rate > most:
+            rate *= min(1.0, 4.0 * sum(1 for c in cells if _NUMERIC.fullmatch(c)) / len(cells))
+        most = max(most, rate)
+    return most
+
+
+def _repeats(words: list[str]) -> float:
+    """How far the text agrees with itself, moved by the distance at which its middle comes again; 0 for less than three periods."""
+    squeezed = "".join(words)
+    n, most = len(squeezed), 0.0
+    for at in (n // 3, n // 2):
+        probe = squeezed[at : at + min(12, n // 4)]
+        again = squeezed.find(probe, at + 1) if len(probe) > 3 else -1
+        period = again - at
+        if again > 0 and n >= 3 * period:
+            most = max(most, sum(map(str.__eq__, squeezed, squeezed[period:])) / (n - period))
+    return most
+
+
+def _coded(text: str, words: list[str], lines: list[str], length: int, symbols: int, unknown: float) -> float:
+    """Share of the characters in codes (all but one), tags, program text, words of symbols, or unpronounceable words.
+
+    ``unknown``: how far the words are strange to the language (1: none is common).
+    """
+    sizes = [len(w) for w in words if len(w) > 5 and _HEXLIKE.fullmatch(w.strip(".,;:()[]\"'"))]
+    most = sum(sizes) - min(40, max(sizes)) if sizes else 0
     if symbols > 0.08 * length:
-        if "<" in text and sum(len(m) for m in _TAG.findall(text)) > 0.3 * length:
-            return True
-        if ("{" in text or "(" in text or "=" in text) and len(_CODE.findall(text)) * 12 > length:
-            return True
-    if share < 0.1 and lang not in ("te", "ta", "kn", "th", "zh", "hi", "mr", "deva", "none"):
-        pieces = [p for p in _LATIN.findall(text) if len(p) > 3]
-        if sum(map(len, pieces)) > 0.4 * length:
-            hard = sum(1 for p in pieces if _HARD.search(p))
-            if hard * 2 >= len(pieces):
-                return True
-    return False
-
-
-def _shape(text: str, words: list[str], lines: list[str], lang: str, share: float, length: int, digits: int, symbols: int, ends: int, stops: int, n_words: int, distinct: float) -> str:
-    if _repeats(text, words, distinct, n_words) or _junk(text, words, lang, share, length, digits, symbols):
-        return "junk"
-    if stops > 0.6 * len(lines) and stops * 25 >= n_words and 2 * ends >= len(lines):
-        if sum(1 for x in lines if _MARK.match(x.lstrip())) < 0.7 * len(lines):
-            return "prose"
-    if _columns(lines):
-        return "table"
-    if _items(text, words, lines, ends, stops):
-        return "list"
-    return "prose"
-
-
-_PROFILE = "field string, rec_id bigint, lang string, words bigint, " + ", ".join(f"{s} double" for s in STATS) + ", shape string"
+        most = max(most, sum(len(w) for w in words if len(w) > 1 and _SYMBOLS.fullmatch(w)))
+        if "<" in text:
+            most = max(most, sum(map(len, _TAG.findall(text))))
+        if "{" in text or "(" in text or "=" in text:
+            most = max(most, 12 * sum(len(_CODE.findall(x)) for x in lines if not _MARK.match(x)))
+    if unknown:
+        most = max(most, unknown * sum(len(p) for p in _LATIN.findall(text) if len(p) > 3 and _HARD.search(p)))
+    return min(1.0, most / length)
 
 
-def profiles(df: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(field, rec_id, lang, words, statistics, shape) of every record that isn't blank.
+#: columns of a measured record
+RECORD = ("lang", "words", *MEASURED)
 
-    ``common_words`` is a small fixed table of frequent words by language.
-    """
+
+def record_schema() -> str:
+    return "lang string, words bigint, " + ", ".join(f"{s} double" for s in MEASURED)
+
+
+MEASURE_TYPES = (pa.string(), pa.int64(), *[pa.float64()] * len(MEASURED))
+_PROFILE = f"field string, rec_id bigint, {record_schema()}"
+
+
+def common_by_language(common_words: DataFrame) -> dict[str, list[str]]:
+    """The frequent words of each language, from a small fixed table."""
     common: dict[str, list[str]] = {}
     for r in common_words.select("lang", "word").where("lang is not null and word is not null").collect():  # a few hundred rows
         common.setdefault(r.lang, []).append(r.word)
-    names = [s.strip().split(" ")[0] for s in _PROFILE.split(",")]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * len(STATS), pa.string()]
+    return common
+
+
+def profiles(df: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(field, rec_id, lang, words, statistics) of every record that isn't blank."""
+    common = common_by_language(common_words)
+    names = ["field", "rec_id", *RECORD]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile = profiler(common)
@@ -319,47 +308,83 @@ def profiles(df: DataFrame, common_words: DataFrame) -> DataFrame:
                         rows.append(p)
                 take = pa.array(kept, pa.int64())
                 cols = [batch.column(0).take(take), batch.column(1).take(take)]
-                cells = list(zip(*rows)) if rows else [()] * (len(types) - 2)
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, t) for c, t in zip(cells, types[2:]))], names=names)
+                cells = list(zip(*rows)) if rows else [()] * len(MEASURE_TYPES)
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, t) for c, t in zip(cells, MEASURE_TYPES))], names=names)
 
     return df.where(F.col("text").isNotNull()).select("field", "rec_id", "text").mapInArrow(run, _PROFILE)
 
 
-def scored(measured: DataFrame) -> DataFrame:
-    """``measured`` with a robust z-score per statistic (z_...), ``flagged`` and ``kind``.
+#: quantiles read from the sketches, and the normal distribution's at the same shares
+_SHARES, _NORMAL = (0.25, 0.5, 0.75, 0.99), (-0.6745, 0.0, 0.6745, 2.3263)
+Scales = dict[str | None, dict[str, tuple[float, float]]]
 
-    The sketches of a language are one row; there are as many rows as the
-    language rule can name, so they are broadcast. z-scores are null where no
-    language has prose to hold against.
+
+def scales(measured: DataFrame) -> Scales:
+    """Language -> statistic -> (median, scale), from the sketches; None stands for every other language.
+
+    The scale of an ordinary statistic is its interquartile range in units of
+    the normal distribution's; that of one that speaks for a kind, which is 0
+    for most prose, the distance of its last percentile from the median.
     """
-    prose = measured.where(F.col("shape") == "prose")
-    sketches = prose.groupBy("lang").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, F.lit(SKETCH_K)).alias(s) for s in STATS))
-    everything = sketches.where(~F.col("lang").isin(*UNKNOWN)).agg(*(F.kll_merge_agg_double(s).alias(f"all_{s}") for s in STATS))
-    quarts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    rows = sketches.select("lang", "n", *(F.kll_sketch_get_quantile_double(s, quarts).alias(s) for s in STATS)).collect()
-    whole = everything.select(*(F.kll_sketch_get_quantile_double(f"all_{s}", quarts).alias(s) for s in STATS)).collect() if rows else []
-    spark = measured.sparkSession
-
-    def scale(quartiles) -> dict[str, tuple[float, float]]:
-        return {s: (float(quartiles[s][1]), max((quartiles[s][2] - quartiles[s][0]) / 1.349, least)) for s, least in STATS.items()}
-
-    data: list[tuple] = []
-    for r in rows:  # one row a language
-        own = r.lang not in UNKNOWN and r.n >= LEAST
-        scales = scale(r if own or whole[0][0] is None else whole[0])
-        told = own and all(max(m, 1.0 - m) > TAIL * d if s not in LOW_ONLY else m > TAIL * d for s, (m, d) in scales.items() if s in DECISIVE)
-        data.append((r.lang, told, *(x for s in STATS for x in scales[s])))
-    blank = (None,) * (2 * len(STATS))
-    rest = tuple(x for m in scale(whole[0]).values() for x in m) if whole and whole[0][0] is not None else blank
-    data.append((None, False, *rest))  # languages without any prose
-    schema = "scale_lang string, told boolean, " + ", ".join(f"m_{s} double, d_{s} double" for s in STATS)
-    known = [r[0] for r in data if r[0] is not None]
-    scales = spark.createDataFrame(data, schema)
-    z = {s: (F.col(s) - F.col(f"m_{s}")) / F.col(f"d_{s}") for s in STATS}
+    prose = measured.where(" AND ".join(f"{s} < {FIRST}" for s in EVIDENCE))
+    sketches = prose.groupBy("lang").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, F.lit(SKETCH_K)).alias(s) for s in MEASURED))
+    at = F.array(*map(F.lit, _SHARES))
+    by_lang = sketches.select("lang", "n", *(F.kll_sketch_get_quantile_double(s, at).alias(s) for s in MEASURED)).collect()  # one row a language
+    pooled = {s: (0.0,) * len(_SHARES) for s in MEASURED}
+    if any(r.lang not in UNKNOWN for r in by_lang):
+        whole = sketches.where(~F.col("lang").isin(*UNKNOWN)).agg(*(F.kll_merge_agg_double(s).alias(s) for s in MEASURED))
+        merged = whole.select(*(F.kll_sketch_get_quantile_double(s, at).alias(s) for s in MEASURED)).first()
+        pooled = {s: tuple(map(float, merged[s])) for s in MEASURED}
+
+    def scale(own: dict[str, tuple[float, ...]], n: int) -> dict[str, tuple[float, float]]:
+        out = {}
+        for s in MEASURED:
+            w = n / (n + SHRINK)
+            low, mid, high, last = (w * a + (1 - w) * b for a, b in zip(own[s], pooled[s]))
+            if s in STATS:
+                out[s] = mid, max((high - low) / (_NORMAL[2] - _NORMAL[0]), STATS[s])
+            else:
+                out[s] = mid, max((last - mid) / _NORMAL[3], EVIDENCE[s][1])
+        return out
+
+    return {None: scale(pooled, 0)} | {r.lang: scale({s: tuple(map(float, r[s])) for s in MEASURED}, r.n) for r in by_lang}
+
+
+def z_scores(held: Scales) -> dict[str, Column]:
+    """The robust z-score of each statistic of a measured record.
+
+    There are as many (median, scale) pairs as languages the language rule can
+    name: they stand in the plan as map literals.
+    """
+    known = [lang for lang in held if lang is not None]
+
+    def of(k: int, s: str) -> Column:
+        other = F.lit(held[None][s][k])
+        if not known:
+            return other
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for lang in known for x in (lang, held[lang][s][k]))), F.col("lang")), other)
+
+    return {s: (F.col(s) - of(0, s)) / of(1, s) for s in MEASURED}
+
+
+def kind_of(z: dict[str, Column]) -> Column:
+    """The kind of a score beyond ``KIND_TAIL``.
+
+    The rows of a table are short lines too, and so is a phrase over and over:
+    junk comes before table, table before list.
+    """
+    out: Column | None = None
+    for kind in ("junk", "table", "list"):
+        top = F.greatest(*(z[s] for s, (k, _) in EVIDENCE.items() if k == kind), F.lit(0.0))
+        out = (F if out is None else out).when(top > KIND_TAIL, F.lit(kind))
+    return out.otherwise(F.lit("prose"))
+
+
+def scored(measured: DataFrame) -> DataFrame:
+    """``measured`` with a robust z-score per statistic (z_...), ``flagged`` and ``kind``."""
+    columns = measured.select("*", *(v.alias(f"z_{s}") for s, v in z_scores(scales(measured)).items()))
+    z = {s: F.col(f"z_{s}") for s in MEASURED}
     tail = F.lit(False)
-    for s, v in z.items():
-        tail = tail | F.coalesce((v < -TAIL) if s in LOW_ONLY else (F.abs(v) > TAIL), F.lit(False))
-    held = F.when(F.col("lang").isin(*known), F.col("lang")) if known else F.lit(None).cast("string")
-    joined = measured.withColumn("_held", held).join(F.broadcast(scales), F.col("_held").eqNullSafe(F.col("scale_lang")))
-    kind = F.when(tail | ~F.col("told"), F.col("shape")).otherwise(F.lit("prose"))
-    return joined.select("field", "rec_id", "lang", "words", *STATS, *(v.alias(f"z_{s}") for s, v in z.items()), tail.alias("flagged"), "shape", kind.alias("kind"))
+    for s in STATS:
+        tail = tail | ((z[s] < -TAIL) if s in LOW_ONLY else (F.abs(z[s]) > TAIL))
+    return columns.select("*", tail.alias("flagged"), kind_of(z).alias("kind"))

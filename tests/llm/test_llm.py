@@ -117,25 +117,59 @@ def test_format_duplicates(spark):
 
 # ---- 3 quality
 WORDS = {"en": "the of and to a in that is was for it with as on be".split()}
-PROSE = "the house of that man was a good one and it is for us. " * 5
-
-
-def test_shapes():
-    shape = lambda t: quality.profiler(WORDS)(t)[-1]
-    rnd = random.Random(2)
-    assert shape(PROSE.replace("good", "fine", 2)[:170]) == "prose"
-    assert shape("\n".join(f"- item {i} of it" for i in range(9))) == "list"
-    assert shape("of | the | house | and so | more | last") == "list"
-    assert shape("\n".join(f"a{i}\t{i * 7}\t{i}%\t-" for i in range(9))) == "table"
-    assert shape("\n".join(f"a{i},{i * 7},{i}%" for i in range(9))) == "table"
-    assert shape(" ".join("".join(rnd.choice("0123456789abcdef") for _ in range(8)) for _ in range(30))) == "junk"
-    assert shape("very good price " * 30) == "junk"
-    assert shape("<div class='a'><b>x</b></div>" * 9) == "junk"
+PROSE = "The house of that man was a good one. And it is for us to go on with. Is that as good? In a day it was on the way to be so. He was with it and that is that. As for the rest, it is in a box of the man on the hill."
+
+
+SHAPES = [
+    ("prose", PROSE),
+    ("prose", "Call the man of it: - one is good.\nThe house was for us and that is it. " * 2 + "It is 5, 6 and 7."),
+    ("list", "\n".join(f"- item {i} of it" for i in range(9))),
+    ("list", "(a) of the house;\n(b) on it;\n(c) in that;\n(d) for us;"),
+    ("list", "of | the | house | and so | more | last"),
+    ("list", "about it: house, man, good, one, water, light, bread, fish"),
+    ("table", "\n".join(f"a{i}\t{i * 7}\t{i}%\t-" for i in range(9))),
+    ("table", "\n".join(f"| a{i} | {i * 7} | - |" for i in range(4))),
+    ("table", "\n".join(f"a{i},{i * 7},{i}%" for i in range(9))),
+    ("junk", " ".join(f"{i * 2654435761 % 2**32:08x}" for i in range(30))),
+    ("junk", "very good price " * 30),
+    ("junk", "the the the the the the the"),
+    ("junk", "#$% =_= <*|* ~~^ %%& ##\\ $$ ^^"),
+    ("junk", "<div class='a'><b>x</b></div>" * 9),
+]
+
+
+def test_kinds(spark):
+    prose = [PROSE[k:] for k in range(60)]
+    common = frame(spark, [("en", w) for w in WORDS["en"]], "lang string, word string")
+    measured = quality.profiles(fields(spark, [t for _, t in SHAPES] + prose), common)
+    held = quality.scales(measured)
+    rows = measured.select("rec_id", quality.kind_of(quality.z_scores(held)).alias("kind")).collect()
+    assert [r.kind for r in sorted(rows)] == [k for k, _ in SHAPES] + ["prose"] * 60
+    # the sketches decide: with another spread of the same statistics other rows are in the tails
+    wide = {lang: {s: (m, d * 4) for s, (m, d) in x.items()} for lang, x in held.items()}
+    assert all(r.kind == "prose" for r in measured.select(quality.kind_of(quality.z_scores(wide)).alias("kind")).collect())
     assert quality.profiler(WORDS)("  \n") is None
     for t in HARD[3:]:
         quality.profiler(WORDS)(t)
 
 
+def test_a_language_of_short_lines(spark):
+    """A language whose prose is broken into short lines has a wider scale than one whose prose is not."""
+    common = frame(spark, [("en", w) for w in WORDS["en"]] + [("te", "ఆ")], "lang string, word string")
+    whole = "ఆ రైలు నగరం ఇల్లు నది వచ్చింది అక్కడ ఉంది.\nఒక చెట్టు పక్కన పిల్లలు ఆడుకున్నారు మరియు పాడారు.\nరాత్రి వాన పడింది కానీ పంట బాగుంది.\n"
+    lines = [whole] * 200 + [whole + "ఆ నది పక్కన ఇల్లు\nమా ఊరు చాలా దూరం\nగాలి వాన మరియు ఎండ\nపంట పొలం దగ్గర\n"] * 20
+    held = quality.scales(quality.profiles(fields(spark, [*lines, *[PROSE] * 200]), common))
+    assert held["te"]["item_lines"][1] > 1.3 * held["en"]["item_lines"][1]
+
+
+def test_small_languages_are_drawn_to_all(spark):
+    common = frame(spark, [("en", w) for w in WORDS["en"]] + [("te", "ఆ")], "lang string, word string")
+    few = quality.scales(quality.profiles(fields(spark, ["ఆ నది ఇల్లు రైలు"] + [PROSE] * 100), common))
+    many = quality.scales(quality.profiles(fields(spark, ["ఆ నది ఇల్లు రైలు"] * 900 + [PROSE] * 100), common))
+    own, other = 0.0, few["en"]["punctuated_lines"][0]
+    assert other > 0.9 and abs(few["te"]["punctuated_lines"][0] - other) < 0.1 and many["te"]["punctuated_lines"][0] < 0.1 + own
+
+
 def test_tails(spark):
     rnd = random.Random(5)
     vocabulary = WORDS["en"] + [f"word{c}" for c in "abcdefghij"]
@@ -231,6 +265,30 @@ def test_segments(spark):
     tag = langid.tagger(model)
     for t in HARD[1:]:
         tag(t)
+    assert {x[2] for x in tag("მეორე დილით ბაზარში")} == {"und"}
+    other = langid.segment_languages(frame(spark, [(1, "მეორე დილით ბაზარში წავედით.", None)], "rec_id bigint, t string, lang string"), "rec_id", "t", "lang", model, common)
+    assert [r.lang for r in other.collect()] == ["und"] and langid.unnamed_languages(other).count() == 0
+
+
+def test_words_of_no_language_of_the_model():
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefghilmno", k=rnd.randint(2, 7))) for _ in range(300)]
+    model = langid.Model({"en": [" ".join(rnd.choices(words, k=400))], "de": [" ".join(rnd.choices(words[::-1][:100], k=400))]}, {})
+    tag = langid.tagger(model)
+    assert {x[2] for x in tag("zurw vyptu wrzkt trukw pyrtz.")} == {"und"} and {x[2] for x in tag(" ".join(words[:9]) + ".")} == {"en"}
+    assert model.word("Latin", words[0])["en"] == 0.0 and model.word("Latin", "zurw")["und"] == 0.0 < model.word("Latin", "zurw")["en"]
+
+
+def test_sample_of_the_model_is_bounded(spark):
+    ref = spark.range(3000).selectExpr("if(id % 3 = 0, 'te', 'en') as lang", "concat('the house of that man is good and number ', id) as text")
+    words = frame(spark, [("en", "the")], "lang string, word string")
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "Model", lambda samples, common: seen.update(samples))
+        langid.fit(ref, "text", "lang", words, 40)
+        first = dict(seen)
+        langid.fit(ref.repartition(7), "text", "lang", words, 40)
+    assert set(seen) == {"te-Latn", "en"} and all(30 <= len(t) <= 40 for t in seen.values()) and seen == first
 
 
 def test_short_sentences_and_cells(spark):
@@ -256,7 +314,8 @@ def test_short_sentences_and_cells(spark):
 def test_junk_with_one_accent_has_no_language(spark):
     text = "xqzjv bcdfgh wxkzt pqrst vbnmk zxcvb qwrtp hjklm dfghj ptrsk mnbvc \xe9"
     common = frame(spark, [("en", "the"), ("de", "der")], "lang string, word string")
-    assert quality.profiler({"en": ["the"], "de": ["der"]})(text)[-1] == "junk"
+    measured = quality.profiles(fields(spark, [text]), common)
+    assert [r.kind for r in quality.scored(measured).collect()] == ["junk"]
     ref = frame(spark, [(c, "the house water table light word and that is all " * 3) for c in ("en", "de")], "lang string, text string")
     df = frame(spark, [(1, text, "te")], "rec_id bigint, t string, lang string")
     assert langid.segment_languages(df, "rec_id", "t", "lang", langid.fit(ref, "text", "lang", common, 10), common).count() == 0
