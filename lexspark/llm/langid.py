@@ -104,7 +104,7 @@ class Model:
         self.grams: dict[str, dict[str, dict[str, float]]] = {}
         self.common: dict[str, dict[str, frozenset[str]]] = {}
         self.chance: dict[str, float] = {}
-        self.unseen: dict[str, dict[str, float]] = {}
+        self.unseen: dict[str, float] = {}
         for script, classes in CLASSES.items():
             low, high = next((a, b) for a, b, s in _BLOCKS if s == script)
             word = re.compile(f"[{chr(low)}-{chr(high)}]+")
@@ -125,7 +125,7 @@ class Model:
             # the n-gram of a word as the best fitted language has it, on average
             usual = [sum(k * math.log((k + 0.5) / total[c]) for k in n.values()) / sum(n.values()) for c, n in counts.items() if n]
             self.chance[script] = max(usual, default=0.0) - STRANGE
-            self.unseen[script] = {c: math.log(0.5 / n) for c, n in total.items()}
+            self.unseen[script] = max((math.log(0.5 / total[c]) for c, n in counts.items() if n), default=0.0)
             for g in known:
                 if sum(n[g] for n in counts.values()) > 2:
                     self.grams[script][g] = {c: math.log((n[g] + 0.5) / total[c]) for c, n in counts.items()}
@@ -145,7 +145,7 @@ class Model:
                     score[c] += s[c]
             else:
                 unseen += 1
-        strange = len(grams) * self.chance[script] - (max(self.unseen[script].values()) * unseen if unseen else 0.0)
+        strange = len(grams) * self.chance[script] - unseen * self.unseen[script]
         # n-grams overlap: a quarter of their sum is about the word's own score
         score = {c: s / NGRAM for c, s in score.items()}
         for c, words in self.common[script].items():
