@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,19 +28,32 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one under the working folder only where none is set."""
+    """The shared folder of the session.
+
+    Where none is set, a local session gets one under the working folder; on a
+    cluster that is refused, as no other machine may see it. Checkpoints are
+    removed when nothing refers to them any more.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.abspath(".lexspark-checkpoints")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        path = os.path.abspath(".lexspark-checkpoints")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise once in the shared checkpoint folder (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    conf = spark.sparkContext._jsc.sc().conf()
+    if not conf.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+        conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
@@ -90,5 +102,11 @@ def share(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
-def fresh(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
+def bucket_sample(df: DataFrame, text_col: str, n: int) -> list[str]:
+    """At most ``n`` texts, chosen by hash: the texts fall into ``n`` buckets, each gives the one of the lowest hash.
+
+    One scan with combining aggregation; at most ``n`` rows reach the driver. Equal tables give equal samples.
+    """
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    chosen = rows.groupBy(F.pmod("h", F.lit(n)).alias("b")).agg(F.min_by("t", F.struct("h", "t")).alias("t"))
+    return sorted(r.t for r in chosen.collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +23,26 @@ def _documents(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 # 1 personal information
+def _pii(spark: SparkSession, d: str) -> tuple[DataFrame, pii.NameModel]:
+    both = domain_texts(spark, d)
+    return spread(both), pii.fit(both, table(spark, d, "name_list"), table(spark, d, "common_words"))
+
+
+def _key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms; without one, a key of this run alone, so nothing can be undone or linked later."""
+    return bytes.fromhex(spark.conf.get("spark.lexspark.pseudonym.key", "")) or secrets.token_bytes(32)
+
+
 def p1_items(spark: SparkSession, d: str) -> DataFrame:
-    return pii.items(spread(domain_texts(spark, d)), table(spark, d, "name_list"))
+    return pii.items(*_pii(spark, d), _key(spark))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_items(spark, d).select("field", "rec_id", "start_pos", "kind")
+    return pii.places(*_pii(spark, d)).where(F.col("kind") != "birth_date").select("field", "rec_id", "start_pos", "kind")
 
 
 def p1_masked(spark: SparkSession, d: str) -> DataFrame:
-    return pii.masked(spread(domain_texts(spark, d)), table(spark, d, "name_list"))
+    return pii.masked(*_pii(spark, d), _key(spark))
 
 
 # 2 look-alike characters
