@@ -4,15 +4,17 @@ Characters are mapped back to the bytes of a legacy code page, and an automaton
 over the byte structure of UTF-8 (lead bytes with their count of continuation
 bytes, no overlong forms, surrogates or values past the last code point) finds
 the maximal well-formed multibyte spans. Only those spans are decoded, so the
-sound parts of a partly garbled text stay as they are; spans that come out
-garbled again are decoded again (text wrongly decoded twice).
+sound parts of a partly garbled text stay as they are. Each span is read in the
+page that covers most of the text, or, where that page has none, in the next
+one, so parts may differ in their pages. Spans that come out garbled again are
+decoded again, until nothing changes (each step makes the text shorter).
 
 The automaton is written as one regular expression per code page over the
 page's characters. Further damage has its own scans:
 
-* bytes lost on the way: a text with U+FFFD is found and 'lossy'; the lead bytes
-  beside it stay as shown. A '?' in place of a byte is not told from a question
-  mark: such a span stays as it is, and alone it is not found;
+* bytes lost on the way: U+FFFD stands for any continuation byte; its character
+  comes out as U+FFFD, and the text is 'lossy'. A '?' in place of a byte is not
+  told from a question mark: such a span stays as it is, and alone it is not found;
 * U+FFFD inside a word or beside it, left by a legacy text decoded as UTF-8:
   found, not restorable;
 * text in 16-bit units decoded with the wrong unit size: characters whose
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 #: single-byte pages tried, the likeliest first
 PAGES = ("cp1252", "cp1251", "cp1250", "cp437", "mac_roman", "cp850", "cp866", "koi8_r", "cp1254", "cp1253")
-#: how often a text can have been wrongly decoded
-DEPTH = 3
+#: stands for a byte that is gone
+LOST_BYTE = "\ufffd"
 
 
 @lru_cache(maxsize=None)
@@ -64,16 +66,28 @@ def automaton(page: str) -> re.Pattern[str]:
     def s(low: int, high: int) -> str:
         return _set(page, low, high)
 
-    c = s(0x80, 0xBF)
+    def after(low: int, high: int) -> str:
+        return s(low, high)[:-1] + LOST_BYTE + "]"
+
+    c = after(0x80, 0xBF)
     two = s(0xC2, 0xDF) + c
-    three = f"{s(0xE0, 0xE0)}{s(0xA0, 0xBF)}{c}|{s(0xE1, 0xEC)}{c}{c}|{s(0xED, 0xED)}{s(0x80, 0x9F)}{c}|{s(0xEE, 0xEF)}{c}{c}"
-    four = f"{s(0xF0, 0xF0)}{s(0x90, 0xBF)}{c}{c}|{s(0xF1, 0xF3)}{c}{c}{c}|{s(0xF4, 0xF4)}{s(0x80, 0x8F)}{c}{c}"
+    three = f"{s(0xE0, 0xE0)}{after(0xA0, 0xBF)}{c}|{s(0xE1, 0xEC)}{c}{c}|{s(0xED, 0xED)}{after(0x80, 0x9F)}{c}|{s(0xEE, 0xEF)}{c}{c}"
+    four = f"{s(0xF0, 0xF0)}{after(0x90, 0xBF)}{c}{c}|{s(0xF1, 0xF3)}{c}{c}{c}|{s(0xF4, 0xF4)}{after(0x80, 0x8F)}{c}{c}"
     return re.compile(f"(?:{two}|{three}|{four})+")
 
 
 def _decoded(page: str, span: str) -> str:
+    """The span's characters; U+FFFD for each that lost a byte."""
     table = page_bytes(page)
-    return bytes(table[c] for c in span).decode("utf-8")
+    if LOST_BYTE not in span:
+        return bytes(table[c] for c in span).decode("utf-8")
+    out, at = [], 0
+    while at < len(span):
+        lead = table[span[at]]
+        shown = span[at : at + (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)]
+        out.append(LOST_BYTE if LOST_BYTE in shown else bytes(table[c] for c in shown).decode("utf-8"))
+        at += len(shown)
+    return "".join(out)
 
 
 def _plain(c: str) -> bool:
@@ -109,6 +123,8 @@ def _telling(span: str, decoded: str) -> bool:
     All are but those whose bytes show as sound text: letters of one script and
     case with a mark that closes a word ('oubli\xe9\u2026\xbb'), as any page has them.
     """
+    if LOST_BYTE in span:
+        return True  # found by its lost byte
     at = 0
     for c in decoded:
         size = len(c.encode("utf-8"))
@@ -140,17 +156,24 @@ def _spans(page: str, text: str) -> list[tuple[int, int, str]]:
 
 
 def decode_spans(text: str) -> tuple[str, bool]:
-    """One pass: the page whose spans cover most of the text decides; only spans change."""
-    best: tuple[int, list[tuple[int, int, str]]] | None = None
-    for page in PAGES:
-        if spans := _spans(page, text):
-            covered = sum(b - a for a, b, _ in spans)
-            if best is None or covered > best[0]:
-                best = covered, spans
-    if best is None:
+    """One step: in each region of spans that meet, the page decides that covers most of it, of equals the one that covers most of the text."""
+    by_page = [spans for page in PAGES if (spans := _spans(page, text))]
+    if not by_page:
         return text, False
+    by_page.sort(key=lambda spans: -sum(b - a for a, b, _ in spans))  # stable: of equals the likelier page
+    taken: list[tuple[int, int, str]] = []
+    # region after region, over the spans of all pages in order of place
+    region: list[list[tuple[int, int, str]]] = [[] for _ in by_page]
+    end = -1
+    for a, b, k, p in sorted((a, b, k, p) for k, spans in enumerate(by_page) for a, b, p in spans):
+        if a > end:
+            taken += max(region, key=lambda spans: sum(y - x for x, y, _ in spans))
+            region = [[] for _ in by_page]
+        region[k].append((a, b, p))
+        end = max(end, b)
+    taken += max(region, key=lambda spans: sum(y - x for x, y, _ in spans))
     parts, at = [], 0
-    for a, b, p in best[1]:
+    for a, b, p in taken:
         parts += [text[at:a], p]
         at = b
     return "".join([*parts, text[at:]]), True
@@ -172,11 +195,30 @@ def _swaps(page: str) -> dict[str, str]:
 
 _WORD = re.compile(r"[^\W\d_]*[a-z\xdf-\xf6\xf8-\xff](?:[^\W\d_]|[\xb7\xaf\xb1\xb3\xb8\xbe\u02c6\u02d9\u02da\u02dc\u2030\u2320\u2321\u2229\u2261\u2248\u2264\u2265\u221a\u221e\xf7\ufb01\ufb02])+")
 _SWAP_PAGES = ("cp1251", "mac_roman", "cp437", "cp850", "cp1250", "cp1253", "koi8_r", "cp866")
-#: single signs of a wrong page: a pound or euro before digits, a degree, an apostrophe, a half, quotes in pairs
-_SIGNS = re.compile(
-    r"(?<![^\W\d_])[\u0408\u0402\xfa](?=\d)|(?<=\d )[\u2591\u221e](?=C\b)|(?<=[a-z]n)[\xed\xc6](?=t\b)|(?<=[a-z])\xc6(?=(?:s|re|ll|ve|d)\b)|(?<=[a-z] )[\u03a9\u255c](?= [a-z])"
-    r"|(?<!\w)[\xec\xf4](?=[A-Za-z][^\xec\xee\xf4\xf6]{0,200}[A-Za-z.,!?\u2026][\xee\xf6](?!\w))"
+#: single signs of a wrong page, by what they must have been: a currency before digits, a degree, an apostrophe, a half
+_SIGNS = (
+    (re.compile(r"(?<![^\W\d_])[\u0408\u0402\xfa](?=\d)"), "\xa3\u20ac"),
+    (re.compile(r"(?<=\d )[\u2591\u221e](?=C\b)"), "\xb0"),
+    (re.compile(r"(?<=[a-z]n)[\xed\xc6](?=t\b)|(?<=[a-z])\xc6(?=(?:s|re|ll|ve|d)\b)"), "\u2019"),
+    (re.compile(r"(?<=[a-z] )[\u03a9\u255c](?= [a-z])"), "\xbd"),
 )
+#: and quotes in pairs, within a line
+_QUOTES = re.compile(r"(?<!\w)([\xec\xf4])(?=[A-Za-z])([^\n\xec\xee\xf4\xf6]*[A-Za-z.,!?\u2026])([\xee\xf6])(?!\w)")
+
+
+def signs(text: str) -> tuple[str, bool]:
+    """Single signs read in a wrong page, each put right by the page that has it for what it must have been."""
+
+    def meant(shown: str, expected: str) -> str:
+        return next((m for page in _SWAP_PAGES if (m := _swaps(page).get(shown)) and m in expected), shown)
+
+    out = text
+    for rx, expected in _SIGNS:
+        out = rx.sub(lambda m: meant(m.group(), expected), out)
+    out = _QUOTES.sub(lambda m: meant(m.group(1), "\u201c") + m.group(2) + meant(m.group(3), "\u201d"), out)
+    return out, out != text
+
+
 #: letters of other scripts that are drawn like Latin ones: a spelling trick, not damage
 _LIKE = set("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u03bf\u03bd\u03b1\u03b9")
 
@@ -211,9 +253,7 @@ def swapped(text: str) -> tuple[str, bool]:
                 # of the look-alikes only two stand for letters that are frequent in Latin texts
                 decisive = decisive or bool(odd - _LIKE) or (page == "cp1251" and odd <= {"\u0441", "\u0443"})
     if not (score and decisive):
-        if _SIGNS.search(text):
-            return text, True
-        return text, False
+        return signs(text)
     page = max(score, key=lambda p: score[p])
     table = _swaps(page)
     # letters no Latin text holds are the page's throughout; others only in damaged words
@@ -270,12 +310,10 @@ def repair(text: str | None) -> tuple[str | None, str]:
     """(text, status): 'sound', 'restored', or 'lossy' where some of the original is gone."""
     if not text or text.isascii() or not _SUSPECT.search(text):
         return text, "sound"
-    out, garbled = text, False
-    for _ in range(DEPTH):
+    out, garbled, hit = text, False, True
+    while hit:
         out, hit = decode_spans(out)
         garbled |= hit
-        if not hit:
-            break
     if not garbled:
         out, garbled = units(out)
     if not garbled:
@@ -283,7 +321,7 @@ def repair(text: str | None) -> tuple[str | None, str]:
     lost = bool(_LOST.search(_QUOTED.sub("", out)) or _C1.search(out))
     if not (garbled or lost):
         return text, "sound"
-    return out, "lossy" if lost else "restored"
+    return out, "lossy" if lost or out == text else "restored"
 
 
 def repair_corpus(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

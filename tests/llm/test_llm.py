@@ -512,6 +512,50 @@ def test_round_trips():
     assert mojibake.repair("La lámpara más cara".encode("latin-1").decode("cp1251"))[0] == "La lámpara más cara"
 
 
+def as_shown(text, page="cp1252"):
+    table = {b: c for c, b in mojibake.page_bytes(page).items()}
+    return "".join(table.get(b, chr(b)) for b in text.encode())
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 4, 6])
+@pytest.mark.parametrize("page", ["cp1252", "mac_roman", "cp437"])
+def test_many_wrong_decodings(times, page):
+    text = garbled = "“తెలుగు” café: नदी – größer"
+    for _ in range(times):
+        garbled = as_shown(garbled, page)
+    assert mojibake.repair("A river. " + garbled) == ("A river. " + text, "restored")
+
+
+@pytest.mark.parametrize("pages", [("cp1252", "mac_roman"), ("cp1251", "cp437"), ("cp437", "cp1252"), ("cp1252", "cp1251")])
+def test_parts_in_two_pages(pages):
+    a, b = "తెలుగు భాష నది", "नदी और घर"
+    assert mojibake.repair(as_shown(a, pages[0]) + " and then " + as_shown(b, pages[1])) == (f"{a} and then {b}", "restored")
+    twice = as_shown(as_shown(a, pages[0]), pages[0]) + " and then " + as_shown(as_shown(b, pages[1]), pages[1])
+    assert mojibake.repair(twice) == (f"{a} and then {b}", "restored")
+
+
+def test_a_lost_byte_costs_its_character():
+    shown = as_shown("తెలుగు")
+    gone = shown[:4] + "\ufffd" + shown[5:]
+    assert mojibake.repair(gone) == ("త\ufffdలుగు", "lossy")
+    assert mojibake.repair("caf\xc3\ufffd and \xc3\xa9t\xc3\xa9") == ("caf\ufffd and été", "lossy")
+
+
+@pytest.mark.parametrize("shown,meant", [("He paid \u040850 for it.", "He paid £50 for it."), ("It is 30 \u2591C now", "It is 30 °C now"), ("they didn\xedt go", "they didn’t go"), ("a cup \u03a9 full", "a cup ½ full"), ("the \xecold mill\xee here", "the “old mill” here"), ("that \xf4so called\xf6 day", "that “so called” day")])
+def test_single_signs_are_put_right(shown, meant):
+    assert mojibake.repair(shown) == (meant, "restored")
+
+
+def test_nothing_unchanged_is_called_restored():
+    rnd = random.Random(12)
+    alphabet = "aé\u0408\xec\xee\xf4\u2591\u03a9 1Cnt’“ÃÂ©\ufffd\x81€"
+    for _ in range(4000):
+        t = "".join(rnd.choices(alphabet, k=12))
+        out, status = mojibake.repair(t)
+        assert status != "restored" or out != t
+        assert status != "sound" or out == t
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "SÃO JOÃO", "the “Â” key", "« Â »", "5 °C ¬ 10 m² ¼", "Ångström ÄÖÜ", "dit-il : “Écoute”", "«ÁÉÍÓÚ»", "తెలుగు", "你好，我们是村庄的成员。", "┌┬┐│└┴┘", "col·lecció"])
 def test_sound_text_stays(text):
     assert mojibake.repair(text) == (text, "sound")
