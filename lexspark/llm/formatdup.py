@@ -5,8 +5,9 @@ case, white space and punctuation; a mark right between two digits stays, and
 in rows of ``label : value`` fields the fields are canonicalized one by one
 and sorted. Only a 128-bit hash of the canonical text travels, with a second,
 independent 64-bit hash as the collision check: rows are equal where both
-agree, so texts that collide in one of them are still kept apart. Copies are
-counted with map-side combining, whatever the size of a group.
+agree, so texts that collide in one of them are still kept apart, and
+``collisions`` reports them. Copies are counted with map-side combining,
+whatever the size of a group.
 
 Null rows and rows without a letter or digit take no part. Exact repeats are
 copies; a row repeated under the same id is counted, but is no copy of itself.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookalike import normalizer
+from .lookalike import Shape, normalizer, shapes
 
 #: seeds of the two hashes
 SEED, CHECK_SEED = 0, 0x9E3779B9
@@ -41,9 +42,9 @@ class _Kept(dict):
         return out
 
 
-def canonicalizer() -> Callable[[str], str | None]:
+def canonicalizer(letters: dict[str, Shape]) -> Callable[[str], str | None]:
     """A function from text to canonical text, null where it holds no letter or digit."""
-    normalize = normalizer()
+    normalize = normalizer(letters)
     kept = _Kept()
     between = re.compile(r"(?<=\d)([^\w\s])(?=\d)")
     fields = re.compile(r"[;|]")
@@ -75,8 +76,10 @@ def canonicalizer() -> Callable[[str], str | None]:
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k1, k2, chk): the 128-bit hash in two halves and the check hash; rows without a key are left out."""
 
+    letters = shapes(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical = canonicalizer()
+        canonical = canonicalizer(letters)
         wide, check = xxhash.xxh3_128_digest, xxhash.xxh64_intdigest
         for batch in batches:
             at, k1, k2, chk = [], [], [], []
@@ -106,6 +109,12 @@ def copy_counts(keys: DataFrame) -> DataFrame:
     return groups.select("first_id", "copies")
 
 
+def collisions(keys: DataFrame) -> DataFrame:
+    """(k1, k2, records, first_id): the 128-bit hashes under which records of different check hashes meet."""
+    groups = keys.groupBy("k1", "k2").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.min("chk").alias("low"), F.max("chk").alias("high"))
+    return groups.where(F.col("low") != F.col("high")).select("k1", "k2", "records", "first_id")
+
+
 def copies(keys: DataFrame) -> DataFrame:
     """(first_id, copy_id): every further row of a record that has several ids."""
     firsts = keys.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where(F.col("first_id") != F.col("last_id"))

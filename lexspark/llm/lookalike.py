@@ -8,6 +8,12 @@ Where no script can spell the whole token, each shape takes its first script.
 The choice depends on shapes alone, so two tokens that look the same always
 get the same spelling, and the normalized text is the key of its look.
 
+Shapes are the confusables of the Unicode standard, as the ICU library beside
+Spark has them: letters or signs of several scripts with one skeleton and one
+case are one shape (``shapes``). A few letters whose shape is settled here
+differently, or that must work without the library, are in ``SHAPES``. Two
+letters of one script stay apart, but for phonetic forms of Latin letters.
+
 Other forms first: full- and half-width, presentation and font variants and
 letter ligatures lose their variant; characters without shape go, except a
 joiner or non-joiner right after a virama; every space character of any width
@@ -28,12 +34,14 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters of one shape, in the order in which a spelling is chosen.
-#: Columns: Latin, Greek, Cyrillic, Armenian ('-' where the script has none).
-ALPHABETS = ("Latin", "Greek", "Cyrillic", "Armenian")
+#: scripts in the order in which a spelling is chosen; all others follow by name
+ORDER = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "TELUGU", "KANNADA")
+#: a shape: script -> its letter, in the order of choice
+Shape = dict[str, str]
+#: Letters of one shape. Columns: Latin, Greek, Cyrillic, Armenian ('-' where the script has none).
 SHAPES = """
 A Α А -
 B Β В -
@@ -90,17 +98,65 @@ LATIN_TWINS = {"ɑ": "a", "ɡ": "g", "ı": "i", "ʜ": "н"}
 _LETTER_TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
-def _shapes() -> dict[str, tuple[str, ...]]:
-    """Letter -> its spellings by script, in order of preference."""
-    out: dict[str, tuple[str, ...]] = {}
+def _ordered(shape: Shape) -> Shape:
+    return dict(sorted(shape.items(), key=lambda x: (ORDER.index(x[0]) if x[0] in ORDER else len(ORDER), x[0])))
+
+
+def base_shapes() -> dict[str, Shape]:
+    """Letter -> its shape, of the letters settled here."""
+    out: dict[str, Shape] = {}
     for line in SHAPES.split("\n"):
-        cells = tuple(c for c in line.split())
-        for c in cells:
-            if c != "-":
-                out[c] = cells
+        shape = {script: c for script, c in zip(ORDER, line.split()) if c != "-"}
+        out |= dict.fromkeys(shape.values(), shape)
     for c in TELUGU_KANNADA:
-        pair = ("-",) * len(ALPHABETS) + (c, chr(ord(c) + 0x80))
-        out[c] = out[pair[-1]] = pair
+        shape = {"TELUGU": c, "KANNADA": chr(ord(c) + 0x80)}
+        out |= dict.fromkeys(shape.values(), shape)
+    return out
+
+
+def _phonetic(c: str) -> bool:
+    """Latin letters of phonetic alphabets, which no ordinary word holds beside the letter they look like."""
+    return "\u0250" <= c <= "\u02af" or "\u1d00" <= c <= "\u1dbf" or "\ua720" <= c <= "\ua7ff" or "\uab30" <= c <= "\uab6f"
+
+
+def _case(c: str, skeleton: str) -> str:
+    """The bucket in which letters of one skeleton are one shape; letters without case go by the skeleton's, Lisu ones are capitals."""
+    cat = unicodedata.category(c)
+    if cat == "Lo" and len(skeleton) == 1 and unicodedata.category(skeleton) in ("Lu", "Ll"):
+        return "Lu" if _script(c) == "LISU" else unicodedata.category(skeleton)
+    return cat
+
+
+def shapes(spark: SparkSession) -> dict[str, Shape]:
+    """Letter -> its shape, of all confusable letters and signs; made on the driver in one call, a few thousand entries."""
+    known = getattr(spark.sparkContext, "_lexspark_shapes", None)
+    if known is not None:
+        return known
+    out = base_shapes()
+    every = [c for c in map(chr, range(0x21, 0x20000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Mc", "Mn") and not unicodedata.decomposition(c) and simple_form(c) == c]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join(every)).split("\n")
+    groups: dict[tuple[str, str], list[str]] = {}
+    for c, skeleton in zip(every, skeletons):
+        groups.setdefault((skeleton, _case(c, skeleton)), []).append(c)
+    for letters in groups.values():
+        settled = [out[c] for c in letters if c in out]
+        shape = dict(settled[0]) if settled else {}
+        added: list[str] = []
+        for c in letters:
+            script = _script(c)
+            if c in out or not script:
+                continue
+            if script not in shape:
+                shape[script] = c
+                added.append(c)
+            elif _phonetic(c):
+                added.append(c)
+        if added and len(shape) > 1 or len(added) > 1:
+            shape = _ordered(shape)
+            # the letters settled in one shape with these are of the same one from now on
+            out |= dict.fromkeys((*shape.values(), *added), shape)
+    spark.sparkContext._lexspark_shapes = out
     return out
 
 
@@ -131,17 +187,6 @@ def simple_form(c: str) -> str:
     return c
 
 
-@lru_cache(maxsize=None)
-def _respelled() -> re.Pattern[str]:
-    """Characters without which a token keeps its spelling.
-
-    Latin and Telugu come first in every set of shapes, so only a letter of the
-    other scripts of ``SHAPES`` and ``TELUGU_KANNADA`` can change a token.
-    """
-    others = {n.upper() for n in ALPHABETS[1:]} | {"KANNADA"}
-    return re.compile("[" + "".join(c for c in map(chr, range(0x370, 0x1F000)) if _script(c) in others) + "]")
-
-
 class _Forms(dict):
     """str.translate table that works out each character once."""
 
@@ -152,69 +197,129 @@ class _Forms(dict):
         return form
 
 
-def normalizer() -> Callable[[str], str]:
-    """A function from text to its consistent form; built once per task."""
-    shapes = _shapes()
+@lru_cache(maxsize=4)
+def _letters_of(scripts: frozenset[str]) -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and _script(c) in scripts)
+
+
+def _ranges(chars: set[str]) -> str:
+    """A character class of the characters, as ranges."""
+    out: list[list[int]] = []
+    for o in sorted(map(ord, chars)):
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+
+
+#: scripts that are written together in one word
+_TOGETHER = {"CJK": "HAN", "HIRAGANA": "HAN", "KATAKANA": "HAN", "HANGUL": "HAN", "BOPOMOFO": "HAN"}
+
+
+def normalizer(letters: dict[str, Shape]) -> Callable[..., str]:
+    """A function from text to its consistent form; built once per task.
+
+    Given a list of two numbers, it adds the respelled or alien tokens to them:
+    those that mix scripts, and those that another script could write whole.
+    """
     forms = _Forms()
     scripts: dict[str, str] = {}
-    names = (*ALPHABETS, "Telugu", "Kannada")
-    upper = tuple(n.upper() for n in names)
+    sets = {c: frozenset(shape) for c, shape in letters.items()}
+    first = {c: next(iter(shape.values())) for c, shape in letters.items()}
+    rank = {script: k for k, script in enumerate(_ordered({x: "" for shape in letters.values() for x in shape}))}
     # characters that are their own form, whatever stands beside them
     plain = re.compile("[\t\n\r\x20-\x7e।॥‐-‧ऀ-नप-रलव-ऻऽ-ॗఀ-౅ేొ-్ౠ-౿一-鿿฀-าิ-າ\xe0-\xf6\xc0-\xcf\xd1-\xd6\xf8-\xff\xd8-\xdf]*")
-    joiner = re.compile("([्্੍્୍்్್്්္្])[\u200c\u200d]*?([\u200c\u200d])[\u200c\u200d]*|[\u200c\u200d]+")
-    special = _respelled()
+    joiner = re.compile("([्্੍્୍்్್്්្္])[\u200c\u200d]*?([\u200c\u200d])[\u200c\u200d]*|[\u200c\u200d]+")
+    # characters without which a token keeps its spelling: Latin and Telugu come first in their shapes, so
+    # only a letter of another script that shares shapes, or one that isn't the first of its own, changes a token
+    special = re.compile(_ranges({c for c in letters if first[c] != c} | _letters_of(frozenset(rank) - {"LATIN", "TELUGU"})))
     token = re.compile(r"[^\s!-/:-@\[-`{-~।॥‐-‧、-】]+")
 
-    def respell(m: re.Match[str]) -> str:
-        word = m.group()
-        if not special.search(word):
-            return word
-        able: set[int] | None = None
+    def script_of(c: str) -> str:
+        s = scripts.get(c)
+        if s is None:
+            s = scripts[c] = _script(c)
+        return s
+
+    def respelled(word: str) -> tuple[str, bool]:
+        """The spelling, and whether one script has all of it."""
+        able: frozenset[str] | None = None
         for c in word:
-            cells = shapes.get(c)
-            if cells is not None:
-                can = {k for k, x in enumerate(cells) if x != "-"}
-            else:
-                s = scripts.get(c)
-                if s is None:
-                    s = scripts[c] = _script(c)
+            can = sets.get(c)
+            if can is None:
+                s = script_of(c)
                 if not s:
                     continue
-                can = {upper.index(s)} if s in upper else set()
+                can = frozenset((s,))
             able = can if able is None else able & can
         if able:
-            k = min(able)
-            return "".join(cells[k] if (cells := shapes.get(c)) else c for c in word)
+            script = min(able, key=lambda x: rank.get(x, len(rank)))
+            return "".join(letters[c].get(script, c) if c in letters else c for c in word), True
         # no script spells all of it: every shape by itself
-        return "".join(next(x for x in cells if x != "-") if (cells := shapes.get(c)) else c for c in word)
-
-    def normalize(text: str) -> str:
-        if plain.fullmatch(text):
-            return text
+        return "".join(first.get(c, c) for c in word), False
+
+    def normalize(text: str, count: list[int] | None = None) -> str:
+        if plain.fullmatch(text) and (count is None or not special.search(text)):
+            if count is not None and not text.isascii():
+                for word in token.findall(text):
+                    count[0] += mixed(word)
+            if not special.search(text):
+                return text
         text = text.translate(forms)
         if "\u200c" in text or "\u200d" in text:
             text = joiner.sub(lambda m: (m.group(1) + m.group(2)) if m.group(1) else "", text)
         text = unicodedata.normalize("NFC", text)
         if special.search(text):
+
+            def respell(m: re.Match[str]) -> str:
+                word = m.group()
+                new, whole = respelled(word) if special.search(word) else (word, False)
+                if count is not None:
+                    mixes = mixed(word)
+                    count[0] += mixes
+                    count[1] += whole and new != word and not mixes
+                return new
+
             text = unicodedata.normalize("NFC", token.sub(respell, unicodedata.normalize("NFD", text)))
+        elif count is not None and not text.isascii():
+            for word in token.findall(text):
+                count[0] += mixed(word)
         return text
 
+    def mixed(word: str) -> bool:
+        if word.isascii():
+            return False
+        found = {_TOGETHER.get(s, s) for s in map(script_of, word) if s}
+        return len(found) > 1
+
     return normalize
 
 
 def normalize_corpus(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys``, normalized and changed (whether the text had another form)."""
+    """``keys``, normalized, changed (whether the text had another form), mixed_script and whole_script.
+
+    The last two count the tokens whose letters are of several scripts, and
+    those of one script that were respelled as another script's word; null texts have none.
+    """
+    letters = shapes(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normalize = normalizer()
+        normalize = normalizer(letters)
         for batch in batches:
             old = batch.column(batch.num_columns - 1).to_pylist()
-            new = [None if t is None else normalize(t) for t in old]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.string()), pa.array([a != b for a, b in zip(old, new)], pa.bool_())], names=[*keys, "normalized", "changed"])
+            new, mixes, wholes = [], [], []
+            for t in old:
+                count = [0, 0]
+                new.append(None if t is None else normalize(t, count))
+                mixes.append(count[0])
+                wholes.append(count[1])
+            cells = [pa.array(new, pa.string()), pa.array([a != b for a, b in zip(old, new)], pa.bool_()), pa.array(mixes, pa.int64()), pa.array(wholes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cells], names=[*keys, "normalized", "changed", "mixed_script", "whole_script"])
 
     kept = df.select(*keys, F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}, normalized string, changed boolean")
+    return kept.mapInArrow(run, f"{schema}, normalized string, changed boolean, mixed_script bigint, whole_script bigint")
 
 
 def _signed(raw: bytes) -> int:
@@ -222,32 +327,33 @@ def _signed(raw: bytes) -> int:
 
 
 def look_keys(df: DataFrame) -> DataFrame:
-    """(field, id, k1, k2, t1, t2): 128-bit hashes of the look and of the stored text.
+    """(field, id, k1, k2, t): the 128-bit hash of the look and a 64-bit one of the stored text.
 
-    ``df`` has field, rec_id and text. Texts without a letter or digit are left out.
+    ``df`` has field, rec_id and text. Texts without a letter or digit are left
+    out. ``t`` only tells texts of one look apart.
     """
+    letters = shapes(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normalize = normalizer()
+        normalize = normalizer(letters)
         word = re.compile(r"[^\W_]")
-        digest = xxhash.xxh3_128_digest
+        wide, narrow = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
         for batch in batches:
             rows: list[int] = []
-            cells: list[list[int]] = [[], [], [], []]
+            cells: list[list[int]] = [[], [], []]
             for i, t in enumerate(batch.column(2).to_pylist()):
                 form = normalize(t)
                 if not word.search(form):
                     continue
-                own = digest(t.encode("utf-8", "surrogatepass"))
-                look = own if form == t else digest(form.encode("utf-8", "surrogatepass"))
+                look = wide(form.encode("utf-8", "surrogatepass"))
                 rows.append(i)
-                for c, v in zip(cells, (look[:8], look[8:], own[:8], own[8:])):
+                for c, v in zip(cells, (look[:8], look[8:], narrow(t.encode("utf-8", "surrogatepass")))):
                     c.append(_signed(v))
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in cells)], names=["field", "id", "k1", "k2", "t1", "t2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in cells)], names=["field", "id", "k1", "k2", "t"])
 
     texts = df.where(F.col("text").isNotNull()).select("field", "rec_id", "text")
-    return texts.mapInArrow(run, "field string, id bigint, k1 bigint, k2 bigint, t1 bigint, t2 bigint")
+    return texts.mapInArrow(run, "field string, id bigint, k1 bigint, k2 bigint, t bigint")
 
 
 def same_looking(keys: DataFrame) -> DataFrame:
@@ -255,10 +361,11 @@ def same_looking(keys: DataFrame) -> DataFrame:
 
     Groups are found by combining aggregation; only groups with two texts or
     more meet their rows again. All rows of a group meet in one task: AQE doesn't
-    split this join, as one of its sides is an aggregate.
+    split this join, as one of its sides is an aggregate. An id that stands in
+    several rows has the text of one of them as first text.
     """
     key = ["field", "k1", "k2"]
-    groups = keys.groupBy(*key).agg(F.min("id").alias("first_id"), F.min_by("t1", "id").alias("f1"), F.min_by("t2", "id").alias("f2"), F.min("t1").alias("a1"), F.max("t1").alias("b1"), F.min("t2").alias("a2"), F.max("t2").alias("b2"))
-    mixed = groups.where((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))).select(*key, "first_id", "f1", "f2")
-    other = (F.col("id") != F.col("first_id")) & ((F.col("t1") != F.col("f1")) | (F.col("t2") != F.col("f2")))
+    groups = keys.groupBy(*key).agg(F.min("id").alias("first_id"), F.min_by("t", "id").alias("first_t"), F.min("t").alias("low"), F.max("t").alias("high"))
+    mixed = groups.where(F.col("low") != F.col("high")).select(*key, "first_id", "first_t")
+    other = (F.col("id") != F.col("first_id")) & (F.col("t") != F.col("first_t"))
     return keys.join(mixed, key).where(other).select("field", "first_id", F.col("id").alias("other_id")).distinct()

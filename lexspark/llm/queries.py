@@ -113,6 +113,10 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.copy_counts(formatdup.keyed(_sentences(spark, d), "sent_id", "tokenized_sentence"))
 
 
+def p7_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return formatdup.collisions(formatdup.keyed(_sentences(spark, d), "sent_id", "tokenized_sentence"))
+
+
 # 8 encoding
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(_documents(spark, d), "doc_id", "text")
@@ -120,7 +124,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 # 9 mixing
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(_documents(spark, d, "source"), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +158,7 @@ def queries() -> dict[str, Query]:
         "p6_terms": p6_terms,
         "p7_found": p7_found,
         "p7_records": p7_records,
+        "p7_collisions": p7_collisions,
         "p8_ids": p8_ids,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,

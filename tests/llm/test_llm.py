@@ -155,8 +155,13 @@ ALIKE = [("ఆయన ಇలా", "ఆయన ఇలా"), ("rаnk", "rank"), ("
 UNLIKE = [("m²", "m2"), ("a  b", "a b"), ("a\tb", "a b"), ("Abc", "abc"), ("గ్‌రా", "గ్రా"), ("a.", "a")]
 
 
-def test_consistent_form():
-    n = lookalike.normalizer()
+@pytest.fixture(scope="session")
+def letters(spark):
+    return lookalike.shapes(spark)
+
+
+def test_consistent_form(letters):
+    n = lookalike.normalizer(letters)
     for a, b in ALIKE:
         assert n(a) == n(b), (a, b)
     for a, b in UNLIKE:
@@ -166,9 +171,43 @@ def test_consistent_form():
 
 
 @pytest.mark.parametrize("a,b", [("\u0c95\u0c02\u0cac", "\u0c95\u0c82\u0cac"), ("\u043c\u0438p", "\u043c\u0438\u0440"), ("caf\u0435\u0301", "caf\u00e9"), ("\u0450", "\u00e8"), ("\u0432\u0441\u00e8", "\u0432\u0441\u0450"), ("\u03ba\u03b1\u03bb\u00f3", "\u03ba\u03b1\u03bb\u03cc")])
-def test_borrowed_letters_of_any_script(a, b):
-    n = lookalike.normalizer()
-    assert n(a) == n(b) and formatdup.canonicalizer()(a) == formatdup.canonicalizer()(b)
+def test_borrowed_letters_of_any_script(letters, a, b):
+    n = lookalike.normalizer(letters)
+    assert n(a) == n(b) and formatdup.canonicalizer(letters)(a) == formatdup.canonicalizer(letters)(b)
+
+
+#: Cherokee, Lisu, Coptic, Greek and Cyrillic ka, small capitals, Tamil and Malayalam
+@pytest.mark.parametrize("a,b", [("\u13aa\u13d5", "AS"), ("\ua4ee\ua4d0\ua4e0\ua4d2", "\ua4ee\ua4d0\ua4e0\ua4d2"), ("\ua4e3\ua4f3\ua4d6", "DOG"), ("\u2c9f\u2ca3\u2ca5", "opc"), ("\u03ba\u03bf\u03c4", "\u043ao\u03c4"), ("\u1d04\u1d0f\u1d20", "cov"), ("\u0baf\u0b9c", "\u0baf\u0b9c"), ("\u03bf\u03c5", "\u03bfu")])
+def test_shapes_of_the_standard(letters, a, b):
+    n = lookalike.normalizer(letters)
+    if a.isascii() or a == b:
+        assert n(a) == n(b)
+        return
+    same = [x in letters and y in letters and letters[x] is letters[y] or x == y for x, y in zip(a, b)]
+    assert (n(a) == n(b)) == all(same)
+
+
+@pytest.mark.parametrize("a,b", [("\u13aa", "A"), ("\ua4ee", "A"), ("\ua4f3", "O"), ("\u2c9f", "o"), ("\u03ba", "\u043a"), ("\u1d0f", "o"), ("\u0b9f", "\u0b9f"), ("\u0d20", "o"), ("\u0440", "\u2ca3")])
+def test_letters_of_one_shape(letters, a, b):
+    n = lookalike.normalizer(letters)
+    assert n(a) == n(b)
+
+
+def test_ordinary_letters_stay_apart(letters):
+    n = lookalike.normalizer(letters)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "αβγδεζηθικλμνξοπρστυφχψωςΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", *("".join(map(chr, range(o, o + 0x80))) for o in (0x900, 0xB80, 0xC00, 0xC80, 0xD00, 0x13A0))):
+        words = [c for c in alphabet if c.isalnum()]
+        assert len({n("x " + c) for c in words}) == len({__import__("unicodedata").normalize("NFC", c) for c in words}), alphabet
+    # a shape's letters are of one case
+    for shape in letters.values():
+        assert len({c.isupper() for c in shape.values() if c.isupper() or c.islower()}) < 2
+
+
+def test_mixed_and_whole_script_tokens(spark):
+    df = fields(spark, ["rаnk of сор and rank", "слово", None, "日本語のテスト", "\u13aa\u13d5 x"], True)
+    rows = {r.rec_id: r for r in lookalike.normalize_corpus(df, ["field", "rec_id"], "text").collect()}
+    assert [(rows[i].mixed_script, rows[i].whole_script) for i in range(5)] == [(1, 1), (0, 0), (0, 0), (0, 0), (0, 1)]
+    assert rows[0].normalized == "rank of cop and rank" and rows[2].normalized is None and not rows[1].changed
 
 
 def test_same_looking_pairs(spark):
@@ -195,6 +234,13 @@ def test_format_duplicates(spark):
     assert formatdup.copies(formatdup.keyed(df.limit(0), "sent_id", "t")).count() == 0
 
 
+def test_collisions_are_reported_and_kept_apart(spark):
+    keys = frame(spark, [(1, 7, 8, 5), (2, 7, 8, 5), (3, 7, 8, 6), (4, 7, 9, 5), (5, 7, 8, 6)], "id bigint, k1 bigint, k2 bigint, chk bigint")
+    assert [(r.k1, r.k2, r.records, r.first_id) for r in formatdup.collisions(keys).collect()] == [(7, 8, 4, 1)]
+    assert {(r.first_id, r.copy_id) for r in formatdup.copies(keys).collect()} == {(1, 2), (3, 5)}
+    assert formatdup.collisions(keys.where("id < 3")).count() == 0
+
+
 # ---- 3 quality
 WORDS = {"en": "the of and to a in that is was for it with as on be".split()}
 PROSE = "The house of that man was a good one. And it is for us to go on with. Is that as good? In a day it was on the way to be so. He was with it and that is that. As for the rest, it is in a box of the man on the hill."
@@ -493,10 +539,37 @@ def test_mix(spark):
     again = {(r.doc_id, r.copies) for r in mixing.mix(docs.repartition(7), targets).collect()}
     assert again == {(r.doc_id, r.copies) for r in got}
     shares = {r.source: r for r in mixing.mix_report(mixed, targets).collect()}
+    # every source that could be filled takes what the others can't give
+    filled = Counter()
+    for r in mixing.mix(docs, targets, total_tokens=size // 2, redistribute=True).collect():
+        filled[r.source] += r.tokens * r.copies
+    assert size // 2 - 4 * 31 <= sum(filled.values()) <= size // 2 + 4 and filled["a"] <= held["a"] and filled["c"] == 0
     assert shares["gone"].tokens_used == 0 and abs(sum(r.actual_share for r in shares.values()) - 1) < 1e-9
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
+def test_wanted_tokens():
+    have = {"a": 100, "b": 50, "c": 10}
+    want = {"a": (0.5, 2), "b": (0.3, 1), "c": (0.2, 1)}
+    assert mixing.wanted(want, have, 100, False) == {"a": 50, "b": 30, "c": 10}
+    assert mixing.wanted(want, have, 100, True) == {"a": 56, "b": 34, "c": 10}  # 10 missing tokens, 5 to 3
+    assert mixing.wanted(want, have, 1000, True) == {"a": 200, "b": 50, "c": 10}  # all caps reached
+    assert mixing.wanted({"a": (0.0, 5)}, {"a": 3}, 10, True) == {"a": 0} and mixing.wanted({"a": (1.0, 2)}, {"a": 0}, 10, True) == {"a": 0}
+
+
+def test_threshold_stops_at_one_hash(spark, monkeypatch):
+    """Two levels are enough where a bucket of the second holds one hash; the result is that of all levels."""
+    docs = frame(spark, [(i, "word " * (i % 7 + 1), "a") for i in range(300)], "doc_id bigint, text string, source string")
+    targets = frame(spark, [("a", 0.4, 1)], "source string, target_share double, max_repeats int")
+    levels = []
+    cut_at = mixing._bucket
+    monkeypatch.setattr(mixing, "_bucket", lambda level: levels.append(level) or cut_at(level))
+    got = mixing.mix(docs, targets).collect()
+    size = sum(r.tokens for r in got)
+    used = sum(r.tokens * r.copies for r in got)
+    assert max(levels) < 3 and 0.4 * size - 8 <= used <= 0.4 * size
+
+
 # ---- 10 garbled text
 def test_round_trips():
     plain = "“తెలుగు భాష” café – 30 °C und größer: नदी"
