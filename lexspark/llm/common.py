@@ -15,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks when the input has few splits.
+    """Give CPU-heavy per-row work enough tasks when a scan has few splits.
 
     Large inputs already have more splits than cores and are returned as they
-    are; a handful of small files would otherwise keep most cores idle.
+    are; a handful of small files would otherwise keep most cores idle. For
+    bare scans only: to count the splits of a join would run it.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism

@@ -72,7 +72,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 # 4 sentences
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     checked = table(spark, d, "sentence_check").select("field", "rec_id")
-    return sentences.sentences(spread(domain_texts(spark, d).join(checked, ["field", "rec_id"], "left_semi")))
+    return sentences.sentences(spread(domain_texts(spark, d)).join(checked, ["field", "rec_id"], "left_semi"))
 
 
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:

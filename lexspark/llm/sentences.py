@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts (problem 4).
 
 The sentence-break rules of the Unicode standard, by character property:
-terminators of every script (STerm), ambiguous full stops (ATerm), closing
-quotes and brackets that belong to the sentence, separators that end a
-paragraph, and no break before a lower-case continuation. They are tailored by
+terminators of every script (STerm), ambiguous full stops (ATerm), opening and
+closing quotes and brackets (Close), marks before which a sentence goes on
+(SContinue), separators that end a paragraph, and no break before a lower-case
+continuation. The sets are read from the property tables. They are tailored by
 
 * abbreviations of each language, initials, numbers, dates and addresses, whose
   full stop doesn't end a sentence;
@@ -24,9 +25,11 @@ Positions are code points.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import per_text
@@ -61,36 +64,56 @@ BEFORE_NUMBER = frozenset(
 ALSO_WORDS = frozenset("no art fig p s ex ch tab re mar jun dec ca sec अ".split())
 #: Abbreviations that may end a sentence, if a new one begins after them.
 MAYBE_LAST = frozenset("etc usw u.s u.k u.n uu ee.uu j.-c v.chr n.chr a.m p.m inc ltd co corp jr ph.d b.a m.a rd st ave blvd ln str km kg ఇ.టి.సి వగైరా ఆది मो इ".split())
-#: Words that go on after a closing quote, by language (said, so, that).
-GOES_ON = tuple(
+#: Words that take up what was quoted (said, saying, so, that), in Telugu, Kannada, Tamil, Hindi and Marathi.
+QUOTATIVES = frozenset(
     """
-    అని అంటూ అన్నారు అన్నాడు అనే అనగా
-    ಎಂದು ಎಂದರು ಎನ್ನುತ್ತಾ ಅಂತ
-    என்று என்றார் எனக் என
-    ऐसा|उसने ऐसा|उन्होंने यह|लिखा कहकर यों|कहा असे|त्यांनी असे|ते असं असा|त्यांनी अशी म्हणून म्हणाले
+    అని అంటూ అన్నారు అన్నాడు అన్నది అనే అనగా
+    ಎಂದು ಎಂದರು ಎಂದನು ಎನ್ನುತ್ತಾ ಅಂತ
+    என்று என்றார் என்றாள் எனக் என
+    कहकर कहते बोलकर म्हणून म्हणाले म्हणाला म्हणाली
     """.split()
 )
+#: Words that point back to it if who said it, or a verb of saying, comes next.
+POINTERS = frozenset("ऐसा यह यों यूँ असे असं अशी".split())
+SAYING = frozenset("उसने उन्होंने इसने इन्होंने मैंने हमने किसी त्यांनी त्याने तिने मी आम्ही कहा कहता कहते कहती लिखा पूछा बोला बोले बोली बताया सोचा सांगितले म्हटले विचारले लिहिले बोलले".split())
 #: Who said it, after a quote without a space.
 _SAYS = re.compile(r"[一-鿿]{1,6}?[说道问答喊叫写]|[他她它我你]们?回答")
-#: romanized Telugu opens a sentence in lower case with these
-STARTERS = frozenset("aayana ayana ame aame".split())
+#: Pronouns with which romanized Telugu opens a sentence in lower case
+STARTERS = frozenset("aayana ayana ame aame atanu".split())
 _MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 #: Devanagari letter names, which are initials before a full stop
 _LETTER_NAMES = frozenset("ए बी सी डी ई एफ जी एच आई जे के एल एम एन ओ पी क्यू आर एस टी यू वी डब्ल्यू एक्स वाई जेड".split())
 
-#: quotes and brackets that can be open at once; beyond it the outermost is forgotten
-DEPTH = 32
-_OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "‘": "’", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
-_BRACKETS = frozenset("([{（【")
-_CLOSERS = frozenset(")]}）】」』》〉”’»›“‘\"'")
-_STERM = "!?։؟۔।॥።፧፨᙮᜵᜶᠃᠉᥄᥅᱾᱿‼‽⁇⁈⁉⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡"
-_TERM = "." + _STERM + "…‥"
-_EVENT = re.compile(f"[{re.escape(_TERM)}]+|[()\\[\\]{{}}（）【】「」『』《》“”‘’«»„‚\"']")
+_CHARS = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))
+
+
+def _with(value: str) -> str:
+    """The characters of a value of the sentence-break property."""
+    return "".join(regex.findall(rf"\p{{Sentence_Break={value}}}", _CHARS))
+
+
+#: opening mark -> closing mark: the quotes in use, and every bracket whose partner follows it
+_OPEN = {c: chr(ord(c) + 1) for c in _with("Close") if unicodedata.category(c) == "Ps" and unicodedata.category(chr(ord(c) + 1)) == "Pe"}
+_OPEN |= {"(": ")", "[": "]", "{": "}", "“": "”", "‘": "’", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
+_BRACKETS = frozenset(_OPEN[c] for c in _OPEN if unicodedata.category(c) == "Ps" and "QUOTATION" not in unicodedata.name(c) and c not in "「『《〈")  # closing marks within which nothing ends
+_ENDING = frozenset(_OPEN.values()) - {"“", "‘"}  # closing marks whose partner need not be seen
+_CLOSERS = frozenset(_OPEN.values()) | {'"', "'"}
+_STERM = _with("STerm") + "﹒．"
+_TERM = "." + _STERM + "…‥․"
+_TERMS = frozenset(_TERM)
+_CONTINUE = frozenset(_with("SContinue")) | frozenset("–—)")
+_COMMA = _CONTINUE - frozenset("-–—:：)︓﹕")
+_EVENT = re.compile(f"[{re.escape(_TERM)}]+|[{re.escape(''.join({*_OPEN, *_OPEN.values()}))}\"']")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|[\u2029]+")
 _SPACE = re.compile(r"\s*")
-_WORD_BEFORE = re.compile(r"\S+$")
 _THAI_BREAK = re.compile(r"(?<=[ก-ฺเ-ๅ็-๎])([\"”’')»]*)\s+(?![\s\d๐-๙])")
-_LETTERS_BEFORE = re.compile(r"[^\s\"'“”‘’«»„()\[\]{}]+$")
+_EDGE = re.compile(r"[\s\"'“”‘’«»„()\[\]{}]")
+_WORD = re.compile(r"[^\W\d_]+")
+_ANY = re.compile(r"\w+")
+_NEXT = re.compile(r"\S+")
+#: a label without a space before its value ('tel:', 'mail:') opens a unit of its own
+_LABEL = re.compile(r"[a-z]+:\S")
+_REST = re.compile(r"[^\s.]*(\.?)")
 _INDIC = re.compile("[ऀ-ൿ]")
 _CLUSTER = re.compile("[ऀ-ൿ](?:[ऀ-ःऺ-ॏॢॣঁ-ঃ়-্ਁ-ਃ਼-ੑઁ-ઃ઼-્ଁ-ଃ଼-ୗஂா-்ఀ-ఄా-ౖಁ-ಃ಼-ೖഀ-ഃാ-്\u200c\u200d]|(?<=[्್్])[ऀ-ൿ])*")
 
@@ -99,24 +122,32 @@ def _clusters(piece: str) -> int:
     return len(_CLUSTER.findall(piece))
 
 
-def _goes_on(rest: str) -> bool:
-    words = rest.split(None, 2)[:2]
-    if not words:
-        return False
-    first = words[0].strip(".,;:!?।॥'\"”’")
-    for entry in GOES_ON:
-        a, _, b = entry.partition("|")
-        if first == a and (not b or (len(words) > 1 and words[1].strip(".,;:!?।॥'\"”’") == b)):
-            return True
-    return False
+_STRIP = ".,;:!?।॥'\"”’"
+
 
+def _goes_on(text: str, after: int, b: int) -> bool:
+    """Whether the sentence that holds a quote goes on with who said it."""
+    first = _NEXT.match(text, after, b)
+    word = first.group().strip(_STRIP) if first else ""
+    if word not in POINTERS:
+        return word in QUOTATIVES
+    second = _NEXT.match(text, _SPACE.match(text, first.end(), b).end(), b)
+    return second is not None and first.group()[-1] not in _TERMS and second.group().strip(_STRIP) in SAYING
 
-def _full_stop(text: str, start: int, at: int, after: int, b: int) -> bool:
-    """Whether the single full stop at ``at`` ends the sentence; ``after``: the next character that isn't white space."""
+
+def _starter(text: str, after: int) -> bool:
+    word = _WORD.match(text, after)
+    return word is not None and word.group() in STARTERS
+
+
+def _full_stop(text: str, start: int, word: int, at: int, after: int, b: int) -> bool:
+    """Whether the single full stop at ``at`` ends the sentence.
+
+    ``word``: where the run of characters before it begins; ``after``: the next character that isn't white space.
+    """
     spaced = after > at + 1
     nxt = text[after]
-    m = _LETTERS_BEFORE.search(text, max(start, at - 60), at)
-    token = m.group() if m else ""
+    token = text[max(start, word) : at]
     if not spaced:
         return _unspaced(text, at, nxt, token, b)
     if len(token) == 1 and token.isupper() and nxt.isupper():
@@ -126,10 +157,10 @@ def _full_stop(text: str, start: int, at: int, after: int, b: int) -> bool:
     if bare in NEVER_LAST or (last in NEVER_LAST and "." not in bare):
         return False
     if bare in BEFORE_NUMBER:
-        if nxt.isdigit() or nxt in "#([" or (nxt.isupper() and any(c.isdigit() for c in text[after : after + 16].split(None, 1)[0])):
+        if nxt.isdigit() or nxt in "#([" or (nxt.isupper() and any(map(str.isdigit, _NEXT.match(text, after).group()))):
             return False
         return bare in ALSO_WORDS and not nxt.islower()
-    if bare in ("p", "p.") and text.startswith("ex.", after) or (bare == "ex" and re.search(r"\bp\.\s*ex$", text[max(start, at - 8) : at])):
+    if bare in ("p", "p.") and text.startswith("ex.", after) or (bare == "ex" and _before(text, start, word) == "p."):
         return False
     if bare == "av" and text.startswith("J", after):
         return False
@@ -151,19 +182,63 @@ def _full_stop(text: str, start: int, at: int, after: int, b: int) -> bool:
         if token == text[start:at].strip() and len(token) <= 3:
             return False  # the number of a list item
         if nxt.islower():
-            return bool(re.match(r"[a-z]+:\S", text[after : after + 30])) if token.isdigit() and len(token) <= 2 else bool(re.match(r"[a-z]+:\S|aayana\b", text[after : after + 30]))
+            return _LABEL.match(text, after) is not None or (_starter(text, after) and not (token.isdigit() and len(token) <= 2))
         if token.isdigit() and len(token) <= 2:
-            word = re.match(r"\w+", text[after : after + 12])
-            return not (word and word.group().lower() in _MONTHS)
+            month = _ANY.match(text, after)
+            return not (month and month.group().lower() in _MONTHS)
         return True
     if "." in bare and all(len(p) <= 2 for p in bare.split(".")):
         return False if nxt.islower() else new and bare not in NEVER_LAST and len(bare) > 3 and not re.fullmatch(r"(?:\w\.)+\w", token)
     if nxt.islower():
-        word = re.match(r"[^\W\d_]+(:?)", text[after : after + 24])
-        return bool(word and (word.group() in STARTERS or (word.group(1) and not text[after + word.end() : after + word.end() + 1].isspace())))
+        return _starter(text, after) or _LABEL.match(text, after) is not None
     return True
 
 
+def _before(text: str, start: int, at: int) -> str:
+    """The word before ``at``, white space left out."""
+    k = at
+    while k > start and text[k - 1].isspace():
+        k -= 1
+    a = k
+    while a > start and not text[a - 1].isspace():
+        a -= 1
+    return text[a:k].lower()
+
+
+class _Stack:
+    """Open quotes and brackets: (closing mark, where it opened, whether an introduction came before)."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int, bool]] = []
+        self.at: dict[str, list[int]] = {}  # closing mark -> its places in ``open``
+
+    def push(self, entry: tuple[str, int, bool]) -> None:
+        self.at.setdefault(entry[0], []).append(len(self.open))
+        self.open.append(entry)
+
+    def close(self, mark: str) -> tuple[str, int, bool] | None:
+        """The innermost entry that the mark closes, with all within it closed too; None if there is none."""
+        places = self.at.get(mark)
+        if not places:
+            return None
+        place = places[-1]
+        entry = self.open[place]
+        for x, _, _ in self.open[place:]:
+            self.at[x].pop()
+        del self.open[place:]
+        return entry
+
+    def holds(self, mark: str) -> bool:
+        return bool(self.at.get(mark))
+
+    def innermost(self) -> str:
+        return self.open[-1][0] if self.open else ""
+
+    def clear(self) -> None:
+        self.open.clear()
+        self.at.clear()
+
+
 def _unspaced(text: str, at: int, nxt: str, token: str, b: int) -> bool:
     """A full stop with no space after it."""
     if nxt.isdigit() or not (nxt.isalpha() or nxt in "“‘«„\"'¿¡@(" or nxt.isupper()):
@@ -179,7 +254,7 @@ def _unspaced(text: str, at: int, nxt: str, token: str, b: int) -> bool:
     if _INDIC.match(before):
         if token.lower() in NEVER_LAST or token in BEFORE_NUMBER or "." in token and all(_clusters(p) <= 3 for p in token.split(".")):
             return False
-        end = re.match(r"[^\s.]*(\.?)", text[at + 1 : min(b, at + 40)])
+        end = _REST.match(text, at + 1, b)
         if _clusters(piece) <= 2 and end.group(1) and _clusters(end.group()) <= 3:
             return False  # an abbreviation with inner full stops
         return True
@@ -205,21 +280,28 @@ def _paragraph(text: str, a: int, b: int, ends: list[int]) -> None:
     start = _SPACE.match(text, a, b).end()
     if start >= b:
         return
-    cuts = []
+    cuts: list[int] = []
     if "฀" < max(text[start:b]) and re.search("[ก-ฮ]", text[start:b]):
         cuts = [m.end(1) for m in _THAI_BREAK.finditer(text, start, b) if text[m.start() - 1] != "ๆ"]
-    stack: list[tuple[str, int, bool]] = []  # closing character, where it opened, whether an introduction came before
+    stack = _Stack()
     at = start
+    cut = 0
+    word = start  # where the run of characters before the event begins
+    seen = start
     for m in _EVENT.finditer(text, start, b):
         i = m.start()
-        while cuts and cuts[0] <= i:
-            ends.append(cuts.pop(0))
+        while cut < len(cuts) and cuts[cut] <= i:
+            ends.append(cuts[cut])
+            cut += 1
             start = _SPACE.match(text, ends[-1], b).end()
-            stack = []
+            stack.clear()
+        for edge in _EDGE.finditer(text, seen, i):
+            word = edge.end()
+        seen = i
         if i < at:
             continue
         c = text[i]
-        if c not in _TERM:
+        if c not in _TERMS:
             _quote(text, start, i, b, stack)
             continue
         j = m.end()
@@ -228,15 +310,14 @@ def _paragraph(text: str, a: int, b: int, ends: list[int]) -> None:
         k = j
         while k < b:
             x = text[k]
-            if x in _CLOSERS and (hit := next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == x), None)) is not None:
-                closed.append(stack[hit])
-                del stack[hit:]
+            if x in _CLOSERS and stack.holds(x):
+                closed.append(stack.close(x))
                 k += 1
-            elif x in _TERM and (closed or x != "."):
+            elif x in _TERMS and (closed or x != "."):
                 k += 1
-            elif x in "  \u202f" and k + 1 < b and text[k + 1] in "»?!" and (text[k + 1] != "»" or any(s[0] == "»" for s in stack)):
+            elif x in "  \u202f" and k + 1 < b and text[k + 1] in "»?!" and (text[k + 1] != "»" or stack.holds("»")):
                 k += 1
-            elif x in ")]}）】」』》〉”’»" and k == j and not stack and not (x == "’" and text[k + 1 : k + 2].isalpha()):
+            elif x in _ENDING and k == j and not stack.open and not (x == "’" and text[k + 1 : k + 2].isalpha()):
                 k += 1  # a closing mark whose partner was not seen
             else:
                 break
@@ -247,74 +328,71 @@ def _paragraph(text: str, a: int, b: int, ends: list[int]) -> None:
         nxt = text[after]
         spaced = after > k
         run = text[i:j]
-        late = text[k - 1] in _TERM and closed  # a mark after the closing quote decides like one without quotes
+        late = text[k - 1] in _TERMS and closed  # a mark after the closing quote decides like one without quotes
         if closed and not late:
-            quote = next((q for q in closed if q[0] not in ")]}）】"), None)
+            quote = next((q for q in closed if q[0] not in _BRACKETS), None)
             if quote is None:
                 end = closed[-1][1] <= start
-            elif stack and stack[-1][0] in ")]}）】":
+            elif stack.innermost() in _BRACKETS:
                 end = False
             else:
                 _, opened, intro = quote
                 latin = text[i - 1 : i].isascii() or text[i - 1 : i].islower() or text[i - 1 : i].isupper()
-                if _goes_on(text[after : min(b, after + 40)]):
+                if _goes_on(text, after, b):
                     end = False
                 elif not spaced and _SAYS.match(text, k, b):
                     end = intro
                 elif nxt.islower():
-                    word = re.match(r"[^\W\d_]+", text[after : after + 16])
-                    end = intro or (not latin and not opened <= start) or bool(word and word.group() in STARTERS)
-                elif nxt in ",;:，；：、-–—)" :
+                    end = intro or (not latin and not opened <= start) or _starter(text, after)
+                elif nxt in _CONTINUE:
                     end = False
                 else:
                     end = True
-        elif stack and stack[-1][0] in ")]}）】":
+        elif stack.innermost() in _BRACKETS:
             end = False  # within brackets
         elif run in ("...", "…", "……", "‥") or (run.startswith("..") and set(run) == {"."}):
             before = text[i - 1 : i]
             if not spaced:
-                end = nxt in "“‘«„\"'「『" or (nxt.isupper() and before.islower() and False)
+                end = nxt in "“‘«„\"'「『"
             else:
-                word = re.match(r"[^\W\d_]+", text[after : after + 16])
-                end = not (nxt.islower() and (before.islower() or before.isascii())) or bool(word and word.group() in STARTERS)
+                end = not (nxt.islower() and (before.islower() or before.isascii())) or _starter(text, after)
                 end = end and nxt not in ",;:"
         elif run == "." and not closed:
-            end = _full_stop(text, start, i, after, b) if k == j else True
+            end = _full_stop(text, start, word, i, after, b) if k == j else True
         elif run == "．" and not spaced and nxt.isdigit() or run == "．" and text[i - 1 : i].isdigit() and nxt.isdigit() and not spaced:
             end = False
         else:
             end = spaced or not (nxt.isascii() and (nxt.islower() or nxt.isdigit() or nxt in "=&/%#_-+,;:"))
-            if nxt in ",;，；":
+            if nxt in _COMMA:
                 end = False
         if end:
             ends.append(k)
             start = after
             stack.clear()
-    for cut in cuts:
-        if cut > start:
-            ends.append(cut)
-            start = _SPACE.match(text, cut, b).end()
+    for place in cuts[cut:]:
+        if place > start:
+            ends.append(place)
+            start = _SPACE.match(text, place, b).end()
     if start < b:
         ends.append(b)
 
 
-def _quote(text: str, start: int, i: int, b: int, stack: list[tuple[str, int, bool]]) -> None:
+def _quote(text: str, start: int, i: int, b: int, stack: _Stack) -> None:
     """Keep the stack of open quotes and brackets."""
     c = text[i]
     before = text[i - 1] if i > start else " "
     after = text[i + 1] if i + 1 < b else " "
-    hit = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == c), None)
     if c == "'" or c == "’":
         if before.isalpha() and after.isalpha():
             return  # an apostrophe
-        if hit is not None and not after.isalpha():
-            del stack[hit:]
+        if stack.holds(c) and not after.isalpha():
+            stack.close(c)
             return
-        if c == "’" or not (before.isspace() or before in _OPEN or before in _TERM) or after.isspace():
+        if c == "’" or not (before.isspace() or before in _OPEN or before in _TERMS) or after.isspace():
             return
         closing = "'"
-    elif hit is not None:
-        del stack[hit:]
+    elif stack.holds(c):
+        stack.close(c)
         return
     elif c == '"':
         closing = '"'
@@ -325,9 +403,7 @@ def _quote(text: str, start: int, i: int, b: int, stack: list[tuple[str, int, bo
     k = i - 1
     while k >= start and text[k].isspace():
         k -= 1
-    if len(stack) >= DEPTH:
-        del stack[0]
-    stack.append((closing, i, k >= start and text[k] in ",:，：،"))
+    stack.push((closing, i, k >= start and text[k] in ",:，：،"))
 
 
 def sentences(df: DataFrame) -> DataFrame:

@@ -356,6 +356,31 @@ def test_sentence_ends(case):
     assert got == want, out
 
 
+def test_every_terminator_of_the_standard():
+    import regex
+
+    every = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if regex.match(r"\p{Sentence_Break=STerm}", c)]
+    assert len(every) > 150
+    for c in every:
+        text = f"aka ba{c} Tama na{c}"
+        assert sentences.sentence_ends(text) == [7, len(text)], hex(ord(c))
+    for text in ("မြန်မာစကား။ စာအုပ်တစ်အုပ်။", "ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។", "ܫܠܡܐ܀ ܛܒܐ܀"):
+        assert len(sentences.sentence_ends(text)) == 2
+
+
+@pytest.mark.parametrize("depth", [1, 40, 3000])
+def test_brackets_of_any_depth(depth):
+    text = "He (" * depth + "no. Yes. " + ")" * depth + " went. Then we left."
+    assert sentences.sentence_ends(text) == [len(text) - len(" Then we left."), len(text)]
+
+
+def test_a_token_of_any_length():
+    url = "https://a.example/" + "very-long-path/" * 20 + "page.Html"
+    text = f"See {url} now. Then go."
+    assert sentences.sentence_ends(text) == [text.index(" Then"), len(text)]
+    assert len(sentences.sentence_ends("ที่ 5 นี่ บ้าน เมือง " * 3000)) > 3000
+
+
 def test_sentences_cover_hard_texts():
     rnd = random.Random(7)
     alphabet = "aB .!?\"'“”(«)»\n।。…1ก ๆఅ్"
