@@ -233,7 +233,14 @@ def normalizer(letters: dict[str, Shape]) -> Callable[..., str]:
     joiner = re.compile("([्্੍્୍்్್്්្္])[\u200c\u200d]*?([\u200c\u200d])[\u200c\u200d]*|[\u200c\u200d]+")
     # characters without which a token keeps its spelling: Latin and Telugu come first in their shapes, so
     # only a letter of another script that shares shapes, or one that isn't the first of its own, changes a token
-    special = re.compile(_ranges({c for c in letters if first[c] != c} | _letters_of(frozenset(rank) - {"LATIN", "TELUGU"})))
+    some = {c for c in letters if first[c] != c} | _letters_of(frozenset(rank) - {"LATIN", "TELUGU"})
+    basic = re.compile(_ranges({c for c in some if c <= "\uffff"})).search
+    # characters beyond the basic plane would make the class slow; all of them are looked at
+    beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def special(x: str) -> bool:
+        return basic(x) is not None or beyond(x) is not None
+
     token = re.compile(r"[^\s!-/:-@\[-`{-~।॥‐-‧、-】]+")
 
     def script_of(c: str) -> str:
@@ -260,21 +267,21 @@ def normalizer(letters: dict[str, Shape]) -> Callable[..., str]:
         return "".join(first.get(c, c) for c in word), False
 
     def normalize(text: str, count: list[int] | None = None) -> str:
-        if plain.fullmatch(text) and (count is None or not special.search(text)):
+        if plain.fullmatch(text) and (count is None or not special(text)):
             if count is not None and not text.isascii():
                 for word in token.findall(text):
                     count[0] += mixed(word)
-            if not special.search(text):
+            if not special(text):
                 return text
         text = text.translate(forms)
         if "\u200c" in text or "\u200d" in text:
             text = joiner.sub(lambda m: (m.group(1) + m.group(2)) if m.group(1) else "", text)
         text = unicodedata.normalize("NFC", text)
-        if special.search(text):
+        if special(text):
 
             def respell(m: re.Match[str]) -> str:
                 word = m.group()
-                new, whole = respelled(word) if special.search(word) else (word, False)
+                new, whole = respelled(word) if special(word) else (word, False)
                 if count is not None:
                     mixes = mixed(word)
                     count[0] += mixes
