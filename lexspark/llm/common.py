@@ -111,3 +111,26 @@ def bucket_sample(df: DataFrame, text_col: str, n: int) -> list[str]:
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     chosen = rows.groupBy(F.pmod("h", F.lit(n)).alias("b")).agg(F.min_by("t", F.struct("h", "t")).alias("t"))
     return sorted(r.t for r in chosen.collect())
+
+
+#: rows from which a key is hot, and hot keys looked for, at most
+HOT_ROWS, HOT_KEYS = 1_000_000, 10_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], key: str) -> DataFrame:
+    """``rows`` joined with the one row of their group, whatever the size of a group.
+
+    ``groups`` are an aggregation of ``rows`` by ``on``. Frequent values of
+    ``key`` (a hash among ``on``) are found by a sketch; their groups, at most
+    ``HOT_KEYS`` and few under one hash, are broadcast, so their rows stay where
+    they are. All other rows meet their group in a shuffle. Which keys are
+    taken for frequent changes the plan, never the result.
+    """
+    top = rows.agg(F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {10 * HOT_KEYS})").alias("top"), F.count("*").alias("n")).first()
+    least = max(HOT_ROWS, top.n // HOT_KEYS)
+    hot = [x["item"] for x in top.top or () if x["count"] >= least]
+    if not hot:
+        return rows.join(groups, on)
+    frequent = F.col(key).isin(hot)
+    near = rows.where(frequent).join(F.broadcast(groups.where(frequent)), on)
+    return near.unionByName(rows.where(~frequent).join(groups.where(~frequent), on))

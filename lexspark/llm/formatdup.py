@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import meet
 from .lookalike import Shape, normalizer, shapes
 
 #: seeds of the two hashes
@@ -116,6 +117,6 @@ def collisions(keys: DataFrame) -> DataFrame:
 
 
 def copies(keys: DataFrame) -> DataFrame:
-    """(first_id, copy_id): every further row of a record that has several ids."""
+    """(first_id, copy_id): every further row of a record that has several ids; rows of hot records aren't moved (see ``meet``)."""
     firsts = keys.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where(F.col("first_id") != F.col("last_id"))
-    return keys.join(firsts, _KEY).where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("copy_id")).distinct()
+    return meet(keys, firsts, _KEY, "k1").where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("copy_id")).distinct()

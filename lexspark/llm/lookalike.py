@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import meet
+
 #: scripts in the order in which a spelling is chosen; all others follow by name
 ORDER = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "TELUGU", "KANNADA")
 #: a shape: script -> its letter, in the order of choice
@@ -367,12 +369,11 @@ def same_looking(keys: DataFrame) -> DataFrame:
     """(field, first_id, other_id): rows that look like an earlier row but are written otherwise.
 
     Groups are found by combining aggregation; only groups with two texts or
-    more meet their rows again. All rows of a group meet in one task: AQE doesn't
-    split this join, as one of its sides is an aggregate. An id that stands in
-    several rows has the text of one of them as first text.
+    more meet their rows again, hot ones where the rows are (see ``meet``). An id
+    that stands in several rows has the text of one of them as first text.
     """
     key = ["field", "k1", "k2"]
     groups = keys.groupBy(*key).agg(F.min("id").alias("first_id"), F.min_by("t", "id").alias("first_t"), F.min("t").alias("low"), F.max("t").alias("high"))
     mixed = groups.where(F.col("low") != F.col("high")).select(*key, "first_id", "first_t")
     other = (F.col("id") != F.col("first_id")) & (F.col("t") != F.col("first_t"))
-    return keys.join(mixed, key).where(other).select("field", "first_id", F.col("id").alias("other_id")).distinct()
+    return meet(keys, mixed, key, "k1").where(other).select("field", "first_id", F.col("id").alias("other_id")).distinct()

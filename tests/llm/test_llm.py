@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lexspark.llm import encode, formatdup, langid, lookalike, mixing, mojibake, pii, quality, sentences, termfreq
+from lexspark.llm import common, encode, formatdup, langid, lookalike, mixing, mojibake, pii, quality, sentences, termfreq
 from lexspark.llm.common import texts
 
 HARD = [None, "", " \n\t", "x" * 300_000, "a.b " * 60_000, "(" * 50_000, "<" * 20_000, "1" * 50_000, "a.a." * 20_000 + "@", "\0￾\U0010ffff", "“" * 9, "క్" * 30_000]
@@ -218,6 +218,20 @@ def test_same_looking_pairs(spark):
     assert lookalike.same_looking(lookalike.look_keys(df.limit(0))).count() == 0
 
 
+def test_hot_groups_are_broadcast(spark, monkeypatch):
+    """A third of all rows in one group, found by the sketch: same result, and its rows take no part in the shuffle."""
+    df = spark.range(6000).selectExpr("'f' as field", "id as rec_id", "if(id % 3 = 0, if(id % 2 = 0, 'rank', 'rаnk'), concat(if(id % 2 = 0, 'т', 't'), id div 4)) as text")
+    keys = lookalike.look_keys(df)
+    words = formatdup.keyed(df, "rec_id", "text")
+    cold = [sorted(map(tuple, x.collect())) for x in (lookalike.same_looking(keys), formatdup.copies(words))]
+    monkeypatch.setattr(common, "HOT_ROWS", 500)
+    hot = lookalike.same_looking(keys), formatdup.copies(words)
+    assert [sorted(map(tuple, x.collect())) for x in hot] == cold and all(cold)
+    for x in hot:
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan and "Union" in plan
+
+
 def test_hot_group_is_whole(spark):
     df = spark.range(4000).selectExpr("'f' as field", "id as rec_id", "if(id % 3 = 0, if(id % 2 = 0, 'rank', 'rаnk'), concat('t', id)) as text")
     assert lookalike.same_looking(lookalike.look_keys(df)).count() == sum(1 for i in range(0, 4000, 3) if i % 2)
