@@ -103,11 +103,20 @@ _TERM = "." + _STERM + "…‥․"
 _TERMS = frozenset(_TERM)
 _CONTINUE = frozenset(_with("SContinue")) | frozenset("–—)")
 _COMMA = _CONTINUE - frozenset("-–—:：)︓﹕")
-_EVENT = re.compile(f"[{re.escape(_TERM)}]+|[{re.escape(''.join({*_OPEN, *_OPEN.values()}))}\"']")
+
+
+def _events(most: str) -> re.Pattern[str]:
+    """Runs of terminators, quotes and brackets, up to the character ``most``."""
+    terms, marks = (re.escape("".join(c for c in x if c <= most)) for x in (_TERM, [*_OPEN, *_OPEN.values()]))
+    return re.compile(f"[{terms}]+|[{marks}\"']")
+
+
+#: a class within the basic plane is much faster; most paragraphs need no other
+_EVENT, _EVENT_BASIC = _events("\U0010ffff"), _events("\uffff")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|[\u2029]+")
 _SPACE = re.compile(r"\s*")
 _THAI_BREAK = re.compile(r"(?<=[ก-ฺเ-ๅ็-๎])([\"”’')»]*)\s+(?![\s\d๐-๙])")
-_EDGE = re.compile(r"[\s\"'“”‘’«»„()\[\]{}]")
+_EDGES = frozenset("\"'“”‘’«»„()[]{}")
 _WORD = re.compile(r"[^\W\d_]+")
 _ANY = re.compile(r"\w+")
 _NEXT = re.compile(r"\S+")
@@ -281,23 +290,25 @@ def _paragraph(text: str, a: int, b: int, ends: list[int]) -> None:
     if start >= b:
         return
     cuts: list[int] = []
-    if "฀" < max(text[start:b]) and re.search("[ก-ฮ]", text[start:b]):
+    highest = max(text[start:b])
+    if "฀" < highest and re.search("[ก-ฮ]", text[start:b]):
         cuts = [m.end(1) for m in _THAI_BREAK.finditer(text, start, b) if text[m.start() - 1] != "ๆ"]
     stack = _Stack()
     at = start
     cut = 0
-    word = start  # where the run of characters before the event begins
-    seen = start
-    for m in _EVENT.finditer(text, start, b):
+    word = seen = start  # where the run of characters before a full stop begins, and how far that is known
+    for m in (_EVENT if highest > "\uffff" else _EVENT_BASIC).finditer(text, start, b):
         i = m.start()
         while cut < len(cuts) and cuts[cut] <= i:
             ends.append(cuts[cut])
             cut += 1
             start = _SPACE.match(text, ends[-1], b).end()
             stack.clear()
-        for edge in _EDGE.finditer(text, seen, i):
-            word = edge.end()
-        seen = i
+        if text[i] == ".":
+            k = i
+            while k > seen and not (text[k - 1] in _EDGES or text[k - 1].isspace()):
+                k -= 1
+            word, seen = k if k > seen else word, i
         if i < at:
             continue
         c = text[i]
