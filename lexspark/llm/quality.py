@@ -75,8 +75,8 @@ MEASURED = (*STATS, *EVIDENCE)
 
 _STOP = r".!?।॥…。！？．"
 _CLOSE = "\"'”’»）)\\]」』›*_"
-_STOP_SET = frozenset(_STOP)
-_TRAIL = "\"'”’»）)]」』›*_ \t\r"
+STOPS = frozenset(_STOP)
+TRAIL = "\"'”’»）)]」』›*_ \t\r"
 _EDGE = ".,;:!?\"'()[]“”‘’«»।|"
 _STOPS = re.compile(f"[{_STOP}]+[{_CLOSE}]*(?=\\s|$)|[。！？．]")
 _MARK = re.compile(r"(?:[-*•→◦▪·–—+>]|\(?(?:\d{1,3}|[a-zA-Z]{1,2}|[ivxIVX]{1,5})[.)])[ \t]")
@@ -96,7 +96,7 @@ _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q[^u
 
 #: full-width forms, odd spaces and characters without shape don't count as symbols
 _WIDE = re.compile("[\u00a0\u00ad\u2000-\u200b\u202f\u2060\u3000\ufeff\uff01-\uff5e]")
-_NARROW = {**{o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F) if chr(o) not in "，：；！？（）"}, **{o: " " for o in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000)}, 0xAD: None, 0x200B: None, 0x2060: None, 0xFEFF: None}
+NARROW = {**{o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F) if chr(o) not in "，：；！？（）"}, **{o: " " for o in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000)}, 0xAD: None, 0x200B: None, 0x2060: None, 0xFEFF: None}
 
 
 def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
@@ -163,7 +163,7 @@ def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
 
     def profile(text: str) -> tuple | None:
         if _WIDE.search(text):
-            text = text.translate(_NARROW)
+            text = text.translate(NARROW)
         words = text.split()
         if not words:
             return None
@@ -187,7 +187,7 @@ def profiler(common: dict[str, list[str]]) -> Callable[[str], tuple | None]:
                 symbols += text.count(c)
             elif k == "d":
                 digits += text.count(c)
-        ends = sum(1 for x in lines if x[-1] in _STOP_SET or x.rstrip(_TRAIL)[-1:] in _STOP_SET)
+        ends = sum(1 for x in lines if x[-1] in STOPS or x.rstrip(TRAIL)[-1:] in STOPS)
         stops = len(_STOPS.findall(text))
         unknown = 0.0 if lang in _OWN_SCRIPT else max(0.0, 1.0 - 10.0 * share)
         evidence = (_item_lines(lines), _separators(text, n_words), _cell_rows(lines), _repeats(words), _coded(text, words, lines, length, symbols, unknown))
@@ -202,7 +202,7 @@ def _item_lines(lines: list[str]) -> float:
         return 0.0
     items = 0
     for x in lines:
-        if (len(x) <= 60 and x.count(" ") < 6 and x.rstrip(_TRAIL)[-1:] not in _STOP_SET) or _MARK.match(x.lstrip()):
+        if (len(x) <= 60 and x.count(" ") < 6 and x.rstrip(TRAIL)[-1:] not in STOPS) or _MARK.match(x.lstrip()):
             items += len(x)
     return items / sum(map(len, lines))
 

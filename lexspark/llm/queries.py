@@ -65,6 +65,12 @@ def p3_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(cut(quality.profiles(spread(domain_texts(spark, d)), table(spark, d, "common_words"))))
 
 
+def p3_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that don't depend on the language."""
+    measured = quality.profiles(spread(domain_texts(spark, d)), table(spark, d, "common_words"))
+    return measured.select("field", "rec_id", "symbol_ratio", "digit_ratio", "punctuated_lines", "distinct_words")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_quality(spark, d).where(F.col("kind") != "prose").select("field", "rec_id", "kind")
 
@@ -149,6 +155,7 @@ def queries() -> dict[str, Query]:
         "p2_normalized": p2_normalized,
         "p3_found": p3_found,
         "p3_quality": p3_quality,
+        "p3_measures": p3_measures,
         "p4_found": p4_found,
         "p4_sentences": p4_sentences,
         "p5_found": p5_found,
@@ -167,10 +174,10 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: DuckDB's pattern for a term: no Unicode white space, no U+001C-U+001F
-_TERMS = r"""
-SELECT sent_id, unnest(regexp_extract_all(tokenized_sentence,
-  '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS term
+#: white space for DuckDB's patterns: Unicode's, and U+001C-U+001F
+_WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TERMS = rf"""
+SELECT sent_id, unnest(regexp_extract_all(tokenized_sentence, '[^{_WS}]+')) AS term
 FROM indiccorp_te_tokenized
 """
 _TERM_COUNTS = f"""
@@ -182,8 +189,32 @@ FROM c, n
 """
 
 
+def _narrowed(x: str) -> str:
+    """SQL of a text without width forms, odd spaces and some characters without shape, as the statistics read it."""
+    pairs = {chr(o): chr(v) if isinstance(v, int) else v for o, v in quality.NARROW.items() if v is not None}
+    gone = "".join(chr(o) for o, v in quality.NARROW.items() if v is None)
+    quoted = [t.replace("'", "''") for t in ("".join(pairs), "".join(pairs.values()))]
+    return f"regexp_replace(translate({x}, '{quoted[0]}', '{quoted[1]}'), '[{gone}]', '', 'g')"
+
+
+_STOPS, _TRAIL = "".join(sorted(quality.STOPS)), quality.TRAIL.replace("'", "''").replace("]", "\\]")
+#: a share counts characters or words among all that aren't white space
+_MEASURES = rf"""
+WITH r AS (SELECT 'text' AS field, doc_id AS rec_id, text AS t FROM documents UNION ALL SELECT 'content', rec_id, content FROM oscar_te),
+n AS (SELECT field, rec_id, {_narrowed("t")} AS t FROM r WHERE t IS NOT NULL),
+w AS (SELECT *, regexp_extract_all(t, '[^{_WS}]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')) AS lines FROM n)
+SELECT field, rec_id,
+  length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\p{{Cf}}\p{{Cc}}]', '', 'g')) / length(array_to_string(words, '')) AS symbol_ratio,
+  length(regexp_replace(t, '\P{{Nd}}', '', 'g')) / length(array_to_string(words, '')) AS digit_ratio,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[{_STOPS}][{_TRAIL}]*\z'))) / len(lines) AS punctuated_lines,
+  len(list_distinct(words)) / len(words) AS distinct_words
+FROM w WHERE len(words) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_measures": _MEASURES,
         "p6_terms": _TERM_COUNTS,
         "p6_found": f"SELECT term, mark FROM ({_TERM_COUNTS}) WHERE mark IS NOT NULL",
     }
