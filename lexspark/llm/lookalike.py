@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,12 +163,16 @@ def shapes(spark: SparkSession) -> dict[str, Shape]:
     return out
 
 
+#: letters and marks of several scripts (Common, Inherited): any script can have them
+_SHARED = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
+
+
 def _script(c: str) -> str:
-    """The block-wide script of a letter or mark; '' for what all scripts share."""
+    """The script of a letter or mark, by its name; '' for what several scripts share."""
     name = unicodedata.name(c, "")
     cat = unicodedata.category(c)
     if cat[0] == "L" or (cat[0] in "MN" and not name.startswith(("COMBINING", "DIGIT", "SUPERSCRIPT", "VULGAR"))):
-        return name.split(" ", 1)[0]
+        return "" if _SHARED.match(c) else name.split(" ", 1)[0]
     return ""
 
 

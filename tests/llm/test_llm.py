@@ -187,7 +187,7 @@ def test_shapes_of_the_standard(letters, a, b):
     assert (n(a) == n(b)) == all(same)
 
 
-@pytest.mark.parametrize("a,b", [("\u13aa", "A"), ("\ua4ee", "A"), ("\ua4f3", "O"), ("\u2c9f", "o"), ("\u03ba", "\u043a"), ("\u1d0f", "o"), ("\u0b9f", "\u0b9f"), ("\u0d20", "o"), ("\u0440", "\u2ca3")])
+@pytest.mark.parametrize("a,b", [("\u13aa", "A"), ("\ua4ee", "A"), ("\ua4f3", "O"), ("\u2c9f", "o"), ("\u03ba", "\u043a"), ("\u1d0f", "o"), ("\u0b9f", "\u0b9f"), ("\u0d20", "o"), ("\u0440", "\u2ca3"), ("\u0c95\u1cd0\u0c02\u0cac", "\u0c95\u1cd0\u0c82\u0cac"), ("p\u02b0\u0430", "p\u02b0a")])
 def test_letters_of_one_shape(letters, a, b):
     n = lookalike.normalizer(letters)
     assert n(a) == n(b)
