@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .charclass import MARK, SENT_BOUNDARY, TOKEN, URL, WS
+from .charclass import MARK, SENT_BOUNDARY, TOKEN, TOKEN_NO_AT, URL, WS
 
 
 def _raw(pattern: str) -> str:
@@ -17,7 +17,7 @@ def register(spark: SparkSession) -> list[str]:
     bodies = {
         "lex_strip(s STRING) RETURNS STRING": f"regexp_replace(s, {trim}, '')",
         "lex_words(s STRING) RETURNS ARRAY<STRING>": f"regexp_extract_all(s, {_raw(f'[^{WS}]+')}, 0)",
-        "lex_word_tokens(s STRING) RETURNS ARRAY<STRING>": f"regexp_extract_all(s, {_raw(TOKEN)}, 0)",
+        "lex_word_tokens(s STRING) RETURNS ARRAY<STRING>": f"CASE WHEN contains(s, '@') THEN regexp_extract_all(s, {_raw(TOKEN)}, 0) ELSE regexp_extract_all(s, {_raw(TOKEN_NO_AT)}, 0) END",
         "lex_sentences(s STRING) RETURNS ARRAY<STRING>": f"filter(transform(split(regexp_replace(regexp_replace(translate(s, '{MARK}', ''), {trim}, ''), {_raw(f'({URL})')}, '$1{MARK}'), {_raw(SENT_BOUNDARY)}), x -> regexp_replace(translate(x, '{MARK}', ''), {trim}, '')), x -> x <> '')",
         "lex_plural_class(w STRING) RETURNS STRING": "CASE WHEN endswith(w, 'y') THEN 'Y' WHEN w rlike '(s|z|x|ch|sh)$' THEN 'ES' ELSE 'S' END",
     }

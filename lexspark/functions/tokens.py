@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .charclass import KINDS, MARK, SENT_BOUNDARY, TOKEN, URL, WS
+from .charclass import KINDS, MARK, SENT_BOUNDARY, TOKEN, TOKEN_NO_AT, URL, WS
 
 ColumnLike = Column | str
 
@@ -26,7 +26,9 @@ def words(c: ColumnLike) -> Column:
 
 def word_tokens(c: ColumnLike) -> Column:
     """Typed word tokens in order: URL, e-mail, date, decimal, integer, Telugu, Latin, punctuation, any other character."""
-    return F.regexp_extract_all(_col(c), F.lit(TOKEN), F.lit(0))
+    text = _col(c)
+    found = {p: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (TOKEN, TOKEN_NO_AT)}
+    return F.when(F.contains(text, F.lit("@")), found[TOKEN]).otherwise(found[TOKEN_NO_AT])
 
 
 def sentences(c: ColumnLike) -> Column:

@@ -1,5 +1,7 @@
 """Hand-counted tokenizer and sentence cases, and properties every tokenization keeps."""
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -87,6 +89,13 @@ def test_tokens_keep_what_they_promise(spark, texts):
         assert tokens == a + b  # white space parts independent texts
 
 
+def test_long_runs_are_read_once(spark):
+    texts = ["a." * 60_000, "x1" * 60_000, "ab" * 60_000, "1" * 60_000]
+    began = time.time()
+    assert [len(x) for x in tokens_of(spark, texts)] == [120_000, 120_000, 1, 1]
+    assert time.time() - began < 20
+
+
 def test_sql_functions(spark):
     assert set(sql.register(spark)) >= {"lex_word_tokens", "lex_sentences"}
     r = spark.sql("SELECT lex_word_tokens('a b@c.de 1.5') AS t, lex_sentences('A. B') AS s, lex_plural_class('fox') AS c").first()
