@@ -117,6 +117,11 @@ def base_shapes() -> dict[str, Shape]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _settled() -> frozenset[str]:
+    return frozenset(base_shapes())
+
+
 def _phonetic(c: str) -> bool:
     """Latin letters of phonetic alphabets, which no ordinary word holds beside the letter they look like."""
     return "\u0250" <= c <= "\u02af" or "\u1d00" <= c <= "\u1dbf" or "\ua720" <= c <= "\ua7ff" or "\uab30" <= c <= "\uab6f"
@@ -127,7 +132,7 @@ def _case(c: str, skeleton: str) -> str:
     cat = unicodedata.category(c)
     if cat == "Lo" and len(skeleton) == 1 and unicodedata.category(skeleton) in ("Lu", "Ll"):
         return "Lu" if _script(c) == "LISU" else unicodedata.category(skeleton)
-    return cat
+    return f"{cat}{unicodedata.combining(c)}" if cat[0] == "M" else cat  # marks of another class are put in another order
 
 
 def shapes(spark: SparkSession) -> dict[str, Shape]:
@@ -188,6 +193,8 @@ def simple_form(c: str) -> str:
     o = ord(c)
     if cat == "Cf" or o in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF:
         return "" if not (0x600 <= o <= 0x605 or o in (0x6DD, 0x70F, 0x8E2, 0x110BD)) else c
+    if c in _settled():
+        return c  # such as the lunate sigma, which is c and no other sigma
     d = unicodedata.decomposition(c)
     if d.startswith(_LETTER_TAGS) or (d.startswith("<compat>") and cat in ("Ll", "Lu", "Lo", "Lt")):
         return unicodedata.normalize("NFKC", c)
@@ -206,7 +213,7 @@ class _Forms(dict):
 
 @lru_cache(maxsize=4)
 def _letters_of(scripts: frozenset[str]) -> frozenset[str]:
-    return frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and _script(c) in scripts)
+    return frozenset(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] in "LM" and _script(c) in scripts)
 
 
 def _ranges(chars: set[str]) -> str:
