@@ -1,11 +1,13 @@
 """The command line on small files: outputs, exit codes, limits, rounding."""
 
 import json
+import zipfile
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
-from lexspark import cli
+from lexspark import cli, ship
 from lexspark.operators import corpus
 from lexspark.sources import io
 
@@ -84,3 +86,13 @@ def test_diagrams_and_segmentation(spark, tmp_path, capsys):
     assert sum("->" in x for x in lines(f"{tmp_path}/d")) == 53 and sum("->" in x for x in lines(f"{tmp_path}/f")) == 12
     (tmp_path / "s.json").write_text('{"word_counts": {"ab": 1}, "test_cases": [{"input": "abab", "ground_truth": "ab ab"}], "metadata": {"total_corpus_words": 1}}')
     assert cli.main(["segment", f"{tmp_path}/s.json"]) == 0 and "same" in capsys.readouterr().out
+
+
+def test_package_is_shipped_to_a_cluster(spark):
+    assert ship.ship(spark) is None  # local tasks share the driver's path
+    sent = []
+    context = SimpleNamespace(master="spark://somewhere:7077", addPyFile=sent.append)
+    path = ship.ship(SimpleNamespace(sparkContext=context))
+    assert sent == [path] and ship.ship(SimpleNamespace(sparkContext=context)) == path and len(sent) == 1  # once a session
+    names = zipfile.ZipFile(path).namelist()
+    assert {"lexspark/__init__.py", "lexspark/operators/segment.py"} <= set(names)
