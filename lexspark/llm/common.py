@@ -103,13 +103,18 @@ def share(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
-def bucket_sample(df: DataFrame, text_col: str, n: int) -> list[str]:
-    """At most ``n`` texts, chosen by hash: the texts fall into ``n`` buckets, each gives the one of the lowest hash.
+def bucket_sample(df: DataFrame, text_col: str, n: int, longest: int) -> list[str]:
+    """At most ``n`` texts of at most ``longest`` characters, chosen by hash.
 
-    One scan with combining aggregation; at most ``n`` rows reach the driver. Equal tables give equal samples.
+    A hash threshold, set by the number of rows (which a scan knows from its
+    footers), leaves about eight texts for each of ``n`` buckets; a bucket gives
+    the one of the lowest hash. One scan of the texts; at most ``n`` rows reach
+    the driver. Equal tables give equal samples.
     """
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    chosen = rows.groupBy(F.pmod("h", F.lit(n)).alias("b")).agg(F.min_by("t", F.struct("h", "t")).alias("t"))
+    share = min(1.0, 8 * n / max(1, df.count()))
+    text, low = F.col(text_col), F.col("h").bitwiseAND(F.lit((1 << 32) - 1))
+    rows = df.select(text.alias("t"), F.xxhash64(text_col).alias("h")).where(F.col("t").isNotNull() & (low <= int(share * ((1 << 32) - 1))) & (F.length("t") <= longest))
+    chosen = rows.groupBy(F.pmod(F.shiftright("h", 32), F.lit(n)).alias("b")).agg(F.min_by("t", F.struct("h", "t")).alias("t"))
     return sorted(r.t for r in chosen.collect())
 
 

@@ -135,6 +135,14 @@ def test_many_items_in_one_text():
     assert len(found("a@b.example, " * 20_000)) == 20_000 and time.time() - began < 20
 
 
+def test_sample_of_texts_is_bounded(spark):
+    df = spark.range(5000).selectExpr("if(id % 50 = 0, null, concat('text number ', id, repeat(' x', if(id % 7 = 0, 900, 1)))) as t")
+    got = common.bucket_sample(df, "t", 100, 500)
+    assert 90 <= len(got) <= 100 and max(map(len, got)) <= 500 and got == common.bucket_sample(df.repartition(5), "t", 100, 500)
+    assert common.bucket_sample(df.where("t is null"), "t", 100, 500) == [] == common.bucket_sample(df.limit(0), "t", 100, 500)
+    assert len(common.bucket_sample(df.where("t is not null").limit(30), "t", 10_000, 5000)) == 30
+
+
 def test_masked(spark):
     names = frame(spark, [("Lokuba", "x"), ("Panitani", "x"), (None, "x"), (" ", "x")], "name_text string, script string")
     common = frame(spark, [("en", "the")], "lang string, word string")
