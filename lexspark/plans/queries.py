@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import sql as sqlfuncs
 from ..functions import tokens as T
 from ..operators import automata, compat, corpus, dot, morphology, segment
@@ -179,9 +180,11 @@ def segment_dp(spark: SparkSession, d: str) -> DataFrame:
 def segment_documents(spark: SparkSession, d: str) -> DataFrame:
     """Word boundaries put back into the Latin-letter sentences of all documents, with the corpus' own words."""
     sentences = corpus.sentence_rows(_docs(spark, d)).where(F.col("sentence").rlike(r"\A[\x00-\x7F]*[A-Za-z][\x00-\x7F]*\z"))
-    words = sentences.select(F.explode(T.words(F.lower("sentence"))).alias("word")).where(F.length("word") <= 20)
+    # read for the words, again for the cases: split once
+    cases = cut(sentences.select(F.xxhash64("doc_ord", "sent_idx").alias("case_id"), F.lower("sentence").alias("ground_truth")))
+    words = cases.select(F.explode(T.words("ground_truth")).alias("word")).where(F.length("word") <= 20)
     vocab = segment.vocabulary(words.groupBy("word").agg(F.count("*").alias("cnt")))
-    cases = sentences.select(F.xxhash64("doc_ord", "sent_idx").alias("case_id"), F.regexp_replace(F.lower("sentence"), r"\s+", "").alias("input"), F.lower("sentence").alias("ground_truth"))
+    cases = cases.withColumn("input", F.regexp_replace("ground_truth", r"\s+", ""))
     return segment.metrics(cases, vocab, vocab.agg(F.sum("cnt")).scalar())
 
 

@@ -155,3 +155,30 @@ def test_segmentation_joins_back(spark):
     v = segment.vocabulary(spark.createDataFrame([("ab", 2), ("b", 1)], "word string, cnt bigint"))
     rows = segment.segmentations(cases, v, 3).collect()
     assert {r.case_id: "".join(r.greedy) for r in rows} == {r.case_id: "".join(r.dp) for r in rows} == dict(enumerate(words))
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_large_vocabulary_moves_a_word_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(segment, "HELD_WORDS", 3)
+    monkeypatch.setattr(segment, "BLOCK_CHARACTERS", 20_000)
+    rnd = random.Random(5)
+    vocab = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 20))): rnd.randint(1, 9) for _ in range(500)}
+    parts = list(vocab)
+    texts = ["".join(rnd.choice(parts) for _ in range(8)) for _ in range(1000)]
+    cases = spark.createDataFrame([(i // 2, t, t) for i, t in enumerate(texts)], "case_id bigint, input string, ground_truth string")
+    v = segment.vocabulary(spark.createDataFrame(list(vocab.items()), "word string, cnt bigint"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a vocabulary that is too large for it
+    try:
+        before = shuffled(spark)
+        rows = segment.segmentations(cases, v, 2500).collect()
+        assert shuffled(spark) - before < 10 * sum(map(len, texts))
+        assert segment.metrics(cases, v, 2500).count() == 1000  # a row a case, though ids repeat
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = sorted((r.case_id, r.greedy, r.dp) for r in rows)
+    assert got == sorted((i // 2, *solve(t, vocab, 2500)) for i, t in enumerate(texts))
