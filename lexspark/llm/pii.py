@@ -8,8 +8,8 @@ decide between a person's number and that of an order or a part.
 
 Names are runs of two or three name parts. Each part is weighed: known parts
 (the list) count most; other words by a character model of the list's parts
-against the words of a bounded sample of the texts (``SAMPLE_TEXTS``); frequent
-words of a language count against a name. To this come a title before the run
+against the words of all texts, which are counted in one pass; frequent words
+of a language count against a name. To this come a title before the run
 and, in Latin letters, capitals within a sentence (less so where a determiner
 or a place stands before, and not at all in texts that capitalize much).
 Initials belong to the run. No word around a name but titles is asked for.
@@ -37,21 +37,21 @@ import math
 import re
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality
-from .common import bucket_sample, per_text
+from .common import per_text
 from .lookalike import base_shapes, simple_form
 from .mojibake import repair
 
 KINDS = ("email", "address", "id_number", "phone", "name", "birth_date")
 ROUNDS = 10
-#: texts whose words stand for ordinary words in the model of names, at most, and the longest of them in characters
-SAMPLE_TEXTS, SAMPLE_LENGTH = 4000, 20_000
+#: words that a task counts before it hands its counts on
+COUNTED_WORDS = 200_000
 
 # ---------------------------------------------------------------- Feistel
 
@@ -282,7 +282,7 @@ _FIRMS = frozenset(
 KNOWN, MOST, LEAST, TITLE, CAPITAL, NEEDED = 4.0, 4.0, -4.0, 12.0, 7.0, 5.0
 #: what a pair needs in a script without capitals if one of its parts is known, or as likely
 NEEDED_BESIDE = 3.0
-#: share of the sampled texts from which a word in them is no name part unless it is a known one
+#: share of the texts from which a word in them is no name part unless it is a known one
 FREQUENT = 0.01
 #: strength with which both sides of the model of names are drawn together, in n-grams
 DRAWN = 100
@@ -318,29 +318,57 @@ def _grams(word: str) -> list[str]:
     return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
 
 
+def word_counts(texts: Iterable[str]) -> tuple[Counter[str], Counter[str]]:
+    """How often each word stands in texts, and in how many of them."""
+    seen: Counter[str] = Counter()
+    holders: Counter[str] = Counter()
+    for t in texts:
+        words = Counter(map(str.lower, (*_LATIN_TOKEN.findall(t), *_INDIC_TOKEN.findall(t))))
+        seen.update(words)
+        holders.update(words.keys())
+    return seen, holders
+
+
+def _lowered(names: list[str]) -> frozenset[str]:
+    return frozenset(n.lower() for n in names)
+
+
+def _frequent(n_texts: int) -> float:
+    """In how many of so many texts a frequent word stands."""
+    return max(3, FREQUENT * n_texts)
+
+
+def _outside(word: str) -> Counter[tuple[str, str]]:
+    script = _script(word[0])
+    return Counter((script, g) for g in _grams(word))
+
+
 class NameModel:
     """How much a word looks like a name part: log odds of its n-grams among the list's parts and among the words of texts."""
 
     def __init__(self, names: list[str], texts: list[str], common: dict[str, list[str]]):
-        self.known = frozenset(n.lower() for n in names)
-        self.common = frozenset(w.lower() for words in common.values() for w in words) - self.known
+        seen, holders = word_counts(texts)
+        known = _lowered(names)
+        rows = ((gram, k * seen[w]) for w in seen if w not in known for gram, k in _outside(w).items())
+        self._weigh(known, common, (w for w, k in holders.items() if k >= _frequent(len(texts))), rows)
+
+    @classmethod
+    def counted(cls, names: list[str], common: dict[str, list[str]], frequent: Iterable[str], outside: Iterable[tuple[tuple[str, str], int]]) -> NameModel:
+        """From the frequent words of the texts and the ((script, n-gram), count) of their words that are no known parts."""
+        model = cls.__new__(cls)
+        model._weigh(_lowered(names), common, frequent, outside)
+        return model
+
+    def _weigh(self, known: frozenset[str], common: dict[str, list[str]], frequent: Iterable[str], grams: Iterable[tuple[tuple[str, str], int]]) -> None:
+        self.known = known
+        self.common = (frozenset(w.lower() for words in common.values() for w in words) | frozenset(frequent)) - known
         inside: dict[str, Counter[str]] = {}
         outside: dict[str, Counter[str]] = {}
         for n in self.known:
             if n:
                 inside.setdefault(_script(n[0]), Counter()).update(_grams(n))
-        seen: Counter[str] = Counter()
-        holders: Counter[str] = Counter()
-        for t in texts:
-            words = Counter(map(str.lower, (*_LATIN_TOKEN.findall(t), *_INDIC_TOKEN.findall(t))))
-            seen.update(words)
-            holders.update(words.keys())
-        self.common |= {w for w, k in holders.items() if k >= max(3, FREQUENT * len(texts)) and w not in self.known}
-        for w, k in seen.items():
-            if w not in self.known:
-                table = outside.setdefault(_script(w[0]), Counter())
-                for g in _grams(w):
-                    table[g] += k
+        for (script, g), k in grams:
+            outside.setdefault(script, Counter())[g] += k
         self.odds: dict[str, dict[str, float]] = {}
         for script, pos in inside.items():
             neg = outside.get(script, Counter())
@@ -580,9 +608,56 @@ def known_names(names: DataFrame) -> list[str]:
 
 
 def fit(df: DataFrame, names: DataFrame, common_words: DataFrame) -> NameModel:
-    """The model of names from the list and at most ``SAMPLE_TEXTS`` texts of ``df`` (field, rec_id, text), chosen by hash."""
-    texts = bucket_sample(df, "text", SAMPLE_TEXTS, SAMPLE_LENGTH)
-    return NameModel(known_names(names), texts, quality.common_by_language(common_words))
+    """The model of names from the list and the words of all texts of ``df`` (field, rec_id, text).
+
+    Tasks count the words of their texts, the counts are summed by word, then
+    those of n-grams by n-gram. Frequent words (at most the words of a text
+    over ``FREQUENT``) and n-grams (of at most three letters) reach the driver.
+    """
+    parts = known_names(names)
+    known = _lowered(parts)
+    texts = df.select("text").where(F.col("text").isNotNull())
+    least = _frequent(texts.count())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        holders: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = list(seen)
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([holders[w] for w in words], pa.int64())], names=["word", "seen", "holders"])
+            seen.clear()
+            holders.clear()
+            return batch
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                for into, more in zip((seen, holders), word_counts(whole.column(0).slice(at, 100).to_pylist())):
+                    into.update(more)
+                if len(seen) > COUNTED_WORDS:
+                    yield flush()
+        yield flush()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Frequent words (without a script), and n-grams of the words that are no known parts."""
+        grams: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            frequent = []
+            for word, seen, holders in zip(*(batch.column(c).to_pylist() for c in ("word", "seen", "holders"))):
+                if word in known:
+                    continue
+                if holders >= least:
+                    frequent.append(word)
+                script = _script(word[0])
+                for g in _grams(word):
+                    grams[script, g] += seen
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(frequent), pa.string()), pa.array(frequent, pa.string()), pa.array([1] * len(frequent), pa.int64())], names=["script", "part", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in grams], pa.string()), pa.array([g for _, g in grams], pa.string()), pa.array(list(grams.values()), pa.int64())], names=["script", "part", "n"])
+
+    words = texts.mapInArrow(count, "word string, seen bigint, holders bigint").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("holders").alias("holders"))
+    rows = words.mapInArrow(cut_up, "script string, part string, n bigint").groupBy("script", "part").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    both = list(zip(rows["script"], rows["part"], rows["n"]))
+    return NameModel.counted(parts, quality.common_by_language(common_words), (w for s, w, _ in both if s is None), (((s, g), n) for s, g, n in both if s is not None))
 
 
 def replaced(item: str, kind: str, key: bytes) -> str:
@@ -596,7 +671,7 @@ def replaced(item: str, kind: str, key: bytes) -> str:
 
 def places(df: DataFrame, model: NameModel) -> DataFrame:
     """(field, rec_id, start_pos, end_pos, kind): where every item of every text lies."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the list and the sample
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the list, the frequent words and the n-grams
     columns = [("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())]
     return per_text(df, lambda: finder(shared.value), "field string, rec_id bigint, start_pos bigint, end_pos bigint, kind string", ["field", "rec_id"], columns)
 

@@ -143,6 +143,18 @@ def test_sample_of_texts_is_bounded(spark):
     assert len(common.bucket_sample(df.where("t is not null").limit(30), "t", 10_000, 5000)) == 30
 
 
+def test_model_of_names_counts_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "COUNTED_WORDS", 50)
+    names = frame(spark, [("Lokuba", "x"), ("Panitani", "x"), ("మహేష్", "x")], "name_text string, script string")
+    common_words = frame(spark, [("en", "the")], "lang string, word string")
+    # more texts than a sample of 4,000 held; a long one too
+    texts = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} Lokuba the తెలుగు మాట {'zyx' if i % 90 == 0 else ''}" for i in range(9000)] + ["qwv " * 8000, None, ""]
+    model = pii.fit(fields(spark, texts), names, common_words)
+    whole = pii.NameModel(["Lokuba", "Panitani", "మహేష్"], [t for t in texts if t is not None], {"en": ["the"]})
+    assert (model.known, model.common, model.odds) == (whole.known, whole.common, whole.odds)
+    assert "^qw" in model.odds["Latin"] and "zyx" in model.common
+
+
 def test_masked(spark):
     names = frame(spark, [("Lokuba", "x"), ("Panitani", "x"), (None, "x"), (" ", "x")], "name_text string, script string")
     common = frame(spark, [("en", "the")], "lang string, word string")
